@@ -99,17 +99,15 @@ def links(prints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     that the components are exact while the edges stay linear.
     """
     keyed = prints.select("fp", F.explode(_ball_keys(F.col("fp"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    buckets = materialize(buckets, "buckets")
-    twos = buckets.filter((F.col("n") == 2) & _near("a", "b")).select("a", "b")
-    members = materialize(keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(keyed.join(buckets.hint("merge"), "key"), "members")  # both sides grow with the corpus
     few = members.filter(F.col("n") <= pair_limit)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b")
     crowd = materialize(members.filter(F.col("n") > pair_limit).select("fp").distinct(), "crowd")
     balls = spread(crowd, crowd.count(), 500, "fp").select("fp", F.explode(_points(F.col("fp"))).alias("point"))
     at_point = balls.groupBy("point").agg(F.collect_list("fp").alias("near")).filter(F.size("near") > 1)
     stars = at_point.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).filter("a <> b")
-    return twos.unionByName(pairs).unionByName(stars).distinct()
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
