@@ -9,8 +9,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_folder: list[str] = []
 
@@ -69,3 +72,59 @@ def texts_of(batches: Iterator, column: int) -> Iterator[tuple]:
     """Each Arrow batch with one of its columns as a list of str, null as ''."""
     for batch in batches:
         yield batch, [x or "" for x in batch.column(column).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``per_class`` rows (doc_id, text, label) of each class, and how many labelled ids each class has in all.
+
+    ``labels`` holds the rows that may be learned from. Labels other than 0 and
+    1 are left out, of repeated ids the larger label and the smaller text count.
+    The choice follows a hash of the id. The ids chosen are at most
+    2 x ``per_class`` rows, which is what makes it right to broadcast them.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    totals = {0: 0, 1: 0} | {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    ranked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = F.broadcast(ranked[0].unionByName(ranked[1]))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), totals
+
+
+def with_columns(docs: DataFrame, text_column: str, columns: dict[str, str], make) -> DataFrame:
+    """``docs`` with more columns (name: 'double', 'int', 'long', 'string' or 'boolean') computed from one text column.
+
+    ``make()`` is called once per task and returns a function from a text to the
+    tuple of new values; null texts come as ''.
+    """
+    kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = make()
+        for batch, texts in texts_of(batches, place):
+            new = list(zip(*map(value, texts), strict=True)) or [()] * len(columns)
+            fields = [batch.schema.field(i) for i in range(batch.num_columns)] + [pa.field(c, kinds[t]) for c, t in columns.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kinds[t]) for x, t in zip(new, columns.values(), strict=True))], schema=pa.schema(fields))
+
+    place = docs.columns.index(text_column)
+    schema = docs.schema
+    for name, kind in columns.items():
+        schema = T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    return docs.mapInArrow(add, schema)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Coefficients, the last one the intercept, of a weighted logistic regression by Newton steps."""
+    x = np.column_stack((x, np.ones(len(x))))
+    beta, penalty = np.zeros(x.shape[1]), ridge * np.diag([*[1.0] * (x.shape[1] - 1), 1e-6])
+    weight = weight / max(weight.sum(), 1e-12)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ beta)
+        beta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def logistic(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
