@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symloom.llm.ann import op4_nearest_neighbours
 from symloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from symloom.llm.langid import op3_language_id
+from symloom.llm.licenses import op5_licenses
 from symloom.llm.packing import op2_best_fit_packing
 from symloom.llm.pii import op9_pii
 from symloom.llm.quality import op7_quality
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash_dedup,
         op2_best_fit_packing,
         op3_language_id,
+        op4_nearest_neighbours,
+        op5_licenses,
         op6_toxicity,
         op7_quality,
         op8_decontamination,

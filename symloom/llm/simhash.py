@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symloom.llm.common import materialize, spread, table, texts_of
 from symloom.llm.components import connected_components
@@ -129,5 +130,20 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return marked.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their group's smallest, one row for each such id; all columns stay.
+
+    Of rows that share that id, one with the smallest text stays. Rows without a doc_id always stay.
+    """
+    found = near_duplicates(docs, pair_limit)
+    kept = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__symloom_n")), "kept")
+    once = kept.filter("__symloom_n = 1").select("doc_id")
+    again = kept.filter("__symloom_n > 1").select("doc_id")
+    single = docs.join(once, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__symloom_rank", F.row_number().over(order)).filter("__symloom_rank = 1")
+    return single.unionByName(repeated.select(docs.columns)).unionByName(docs.filter("doc_id is null"))
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
