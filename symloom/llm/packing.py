@@ -12,7 +12,9 @@ leaves most tightly, if they fill it better.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,40 +30,61 @@ from symloom.llm.common import materialize, table, tasks_for, texts_of
 CAPACITY = 2048
 END_OF_TEXT = 0
 GROUP_PIECES = 100_000
-_CACHE_ENTRIES = 300_000
-_CACHED_CHARS = 48
+#: Entries of one generation of a worker's cache, and the longest stretch worth one (longer ones hardly recur).
+_CACHE_ENTRIES = 600_000
+_CACHED_CHARS = 14
 _BLOCK = 1 << 20
 _END = np.array([END_OF_TEXT], "<u4").tobytes()
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+"
+_WORD = re.compile(_LETTERS)
+_WORD_AND_MARKS = re.compile(rf"({_LETTERS})([!-/:-@\[-`{{-~]+)")
+#: The byte-level alphabet: bytes that print stand for themselves, the others for 256 and up, in order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
 class ChunkIds(dict):
     """Token ids, as little-endian bytes, of a text's stretches between white space, encoded once each.
 
     The tokenizer's normaliser and splitter never look across white space, so a
-    text's ids are those of its stretches in a row. Two more steps let stretches
-    share an entry: the tokenizer lower-cases, and it splits after a letter
-    before a full stop or comma. Special tokens, which are matched before
-    lower-casing, all begin with '<|'; stretches with it are left as they are.
+    text's ids are those of its stretches in a row. They split a stretch of
+    letters with ASCII punctuation behind it between the two. A word of Latin
+    letters is one unit for the model, lower-cased letter by letter, so that the
+    model can be asked directly; all else goes through the whole tokenizer.
+    Entries live in two generations: when the younger one is full it becomes the
+    older one, which is dropped then.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= _CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        if chunk.isascii() and "<|" not in chunk and (low := chunk.lower()) != chunk:
-            ids = self[low]
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._encode(chunk)
         if len(chunk) <= _CACHED_CHARS:
             self[chunk] = ids
         return ids
 
+    def _encode(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):
+            if (low := chunk.lower()) != chunk:
+                return self[low]
+            level = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            return array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+        if two := _WORD_AND_MARKS.fullmatch(chunk):
+            return self[two[1]] + self[two[2]]
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         parts, at = [], 0
         while at < len(text):
@@ -76,10 +99,16 @@ class ChunkIds(dict):
 _caches: dict[str, ChunkIds] = {}
 
 
+def shared_ids(path: str) -> ChunkIds:
+    """The Python worker's own cache; it outlives the task."""
+    if path not in _caches:
+        _caches[path] = ChunkIds(path)
+    return _caches[path]
+
+
 def _pieces(tokenizer_path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _caches.setdefault(tokenizer_path, None) or ChunkIds(tokenizer_path)
-        _caches[tokenizer_path] = ids_of
+        ids_of = shared_ids(tokenizer_path)
         for batch, texts in texts_of(batches, 1):
             rows, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(texts):
