@@ -2,8 +2,9 @@
 
 Terms are words and their 4-grams with a mark at the word's start. The terms
 used are those whose document frequencies differ significantly between the
-classes of a bounded sample of labelled rows; their IDF comes from all
-documents. The sample's vectors stand in an inverted index whose postings are
+classes of a bounded sample of labelled rows, and by a multiple, so that the
+everyday terms of a class's languages or lengths are not among them; their IDF
+comes from all documents. The sample's vectors stand in an inverted index whose postings are
 cut into blocks of examples, each with its largest weight: a block is scored
 only while its bound can still reach the k-th best similarity, so the neighbours
 are exact. Votes weighted by similarity, and how near the neighbours are, give a
@@ -28,8 +29,9 @@ from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_f
 #: Bound of the labelled rows of each class that are kept as examples.
 SAMPLE_PER_CLASS = 4000
 MAX_TERMS = 4096
-#: Least standardised difference of a term's document frequencies, and least frequency in the sample.
+#: Least standardised difference of a term's shares of the two classes, least ratio of them, and least frequency in the sample.
 LEAST_Z = 6.0
+LEAST_LIFT = 4.0
 LEAST_DF = 5
 NEIGHBOURS = 20
 BLOCK = 64
@@ -107,7 +109,8 @@ def significant_terms(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     df = sample.select("text", "label").mapInArrow(_class_frequencies, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
-    top = df.filter(F.col("n0") + F.col("n1") >= LEAST_DF).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    high, low = F.greatest((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1), F.least((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1)
+    top = df.filter((F.col("n0") + F.col("n1") >= LEAST_DF) & (high >= LEAST_LIFT * low)).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
     return sorted(r.term for r in top.select("term").collect())
 
 
