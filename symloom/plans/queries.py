@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from symloom.functions.names import identity
 from symloom.operators import accuracy, dependencies, envelope, impact, lookups, resolve, target
 from symloom.plans.projection import meant_definitions, star_graph
+from symloom.plans.storage import stored
 from symloom.schema import Graph
 from symloom.sources import changes
 
@@ -166,7 +167,7 @@ def call_edges(g: Graph) -> DataFrame:
 
 @query
 def impact_closure(g: Graph) -> DataFrame:
-    return impact.closure(impact.call_edges(g), impact.seeds_of_definitions(g.symbols))
+    return impact.closure(stored(impact.call_edges(g), "call-edges"), impact.seeds_of_definitions(g.symbols))
 
 
 @query

@@ -10,14 +10,15 @@ from pyspark.sql import types as T
 
 VERSION = 2
 
-_POSITION = "path string, start_line int, start_col int"
-TABLES: dict[str, T.StructType] = {
-    "files": T._parse_datatype_string("path string, content_hash string"),
-    "symbols": T._parse_datatype_string(f"name string, kind string, {_POSITION}, module_path string"),
-    "refs": T._parse_datatype_string(f"name string, {_POSITION}, kind string, container string"),
-    "imports": T._parse_datatype_string("path string, module_path string, alias string"),
-    "impls": T._parse_datatype_string(f"type_name string, trait_name string, {_POSITION}"),
+_INTEGERS = {"start_line", "start_col"}
+_COLUMNS = {
+    "files": ("path", "content_hash"),
+    "symbols": ("name", "kind", "path", "start_line", "start_col", "module_path"),
+    "refs": ("name", "path", "start_line", "start_col", "kind", "container"),
+    "imports": ("path", "module_path", "alias"),
+    "impls": ("type_name", "trait_name", "path", "start_line", "start_col"),
 }
+TABLES: dict[str, T.StructType] = {t: T.StructType([T.StructField(c, T.IntegerType() if c in _INTEGERS else T.StringType()) for c in columns]) for t, columns in _COLUMNS.items()}
 #: What columns that an older index lacks are filled with.
 DEFAULTS = {"module_path": "", "container": "", "kind": "call"}
 REFERENCE_KINDS = ["call", "macro", "method", "type", "path"]
