@@ -90,6 +90,10 @@ class SymbolIndex:
         module, bare = symbol_target(name, module)
         return module, bare, _rows(lookups.definitions(self.graph, bare, module))
 
+    def definition_rows(self, name: str) -> list[dict[str, Any]]:
+        """Definitions of exactly this name; a qualified one is not split."""
+        return _rows(lookups.definitions(self.graph, name))
+
     @staticmethod
     def _missing(module: str | None, name: str) -> list[str]:
         return [envelope.NOTE_NOT_IN_MODULE.format(name=name, module=module)] if module is not None else []
