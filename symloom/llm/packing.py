@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_OF_TEXT = 0
 GROUP_PIECES = 100_000
 #: Entries of one generation of a worker's cache, and the longest stretch worth one (longer ones hardly recur).
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 150_000
 _CACHED_CHARS = 14
 _BLOCK = 1 << 20
 _END = np.array([END_OF_TEXT], "<u4").tobytes()

@@ -36,8 +36,8 @@ LEAST_DF = 5
 NEIGHBOURS = 20
 BLOCK = 64
 THRESHOLD = 0.5
-_MEMO_ENTRIES = 300_000
-_MEMO_CHARS = 48
+_MEMO_ENTRIES = 100_000
+_MEMO_CHARS = 16
 _TEXT_BLOCK = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
