@@ -17,7 +17,7 @@ class UnsupportedExtension(SymloomError):
     """No language is registered for a file extension."""
 
     def __init__(self, extension: str):
-        super().__init__(f"no language plugin registered for extension {extension!r}")
+        super().__init__(f"no language claims the extension {extension!r}")
         self.extension = extension
 
 
@@ -37,5 +37,5 @@ class UnsupportedSchema(SymloomError):
     """An index was written by a newer version."""
 
     def __init__(self, found: int, supported: int):
-        super().__init__(f"database schema version {found} is newer than supported version {supported}")
+        super().__init__(f"the index has schema version {found}; this version reads up to {supported}")
         self.found, self.supported = found, supported

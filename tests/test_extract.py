@@ -20,28 +20,28 @@ def uses(f):
     return {(r[0], r[3]) for r in f.refs}
 
 
-RUST = """use std::collections::HashMap;
-use a::{b, c as d, e::{self, f::*}};
-
-pub struct MemStore;
-pub trait Storage {}
-impl Storage for MemStore {}
-impl MemStore {
-    fn helper(&self) {}
+RUST = """use std::fmt;
+use shop::{stock, price as cost, tax::{self, rules::*}};
+
+pub struct Ledger;
+pub trait Audit {}
+impl Audit for Ledger {}
+impl Ledger {
+    fn total(&self) {}
 }
-impl<T> fmt::Display for Wrap<T> where T: Clone {}
-mod auth {
-    pub fn login(store: MemStore) {
-        let map: HashMap = todo!();
-        store.helper();
-        greet();
-        a::b::scoped();
-        generic::<u8>();
-        println!("{}", hidden());
-        match x { Some(y) if check(y) => go(y), _ => Foo { a: 1 }.end() };
+impl<T> fmt::Display for Page<T> where T: Clone {}
+mod books {
+    pub fn close(book: Ledger) {
+        let sums: Totals = unimplemented!();
+        book.total();
+        settle();
+        shop::stock::count();
+        turbo::<u8>();
+        assert!(unseen());
+        match x { Some(y) if valid(y) => post(y), _ => Entry { a: 1 }.save() };
     }
 }
-fn greet() -> Vec<Item> { r#"fn decoy() {}"#; 'a'; /* fn no() { /* nested */ } */ b'x' }
+fn settle() -> Vec<Line> { r#"fn decoy() {}"#; 'a'; /* fn no() { /* nested */ } */ b'x' }
 const LIMIT: usize = 3;
 trait Sig { fn only(&self); fn body(&self) {} }
 enum Kind { A(Payload), B { c: Field } }
@@ -53,16 +53,17 @@ macro_rules! m { () => { fn inside() {} } }
 def test_rust():
     f = facts("src/lib.rs", RUST)
     found = {(s[0], s[1]): s for s in f.symbols}
-    assert found[("MemStore", "struct")][2:] == (4, 12, "crate")
-    assert found[("MemStore", "impl")][2] in (6, 7)
-    assert found[("login", "function")][2:] == (12, 12, "crate::auth")
-    assert set(kinds(f)) == {"MemStore", "Storage", "helper", "auth", "login", "greet", "LIMIT", "Sig", "body", "Kind"}
-    assert f.imports == [("std::collections::HashMap", None), ("a::b", None), ("a::c", "d"), ("a::e", None), ("a::e::f::*", None)]
-    assert f.impls == [("MemStore", "Storage", 6, 1), ("MemStore", None, 7, 1)]
-    assert {("todo", "macro"), ("helper", "method"), ("greet", "call"), ("scoped", "path"), ("println", "macro"), ("check", "call"), ("go", "call"), ("end", "method"), ("HashMap", "type"), ("Item", "type"), ("Payload", "type"), ("Field", "type"), ("Foo", "type"), ("Clone", "type"), ("Display", "type"), ("MemStore", "type")} <= uses(f)
-    assert not {"hidden", "generic", "Some", "decoy", "no", "inside", "usize"} & {n for n, _ in uses(f)}
-    assert next(r for r in f.refs if r[0] == "greet")[4] == "crate::auth::login"
-    assert not any(r[0] == "MemStore" and r[3] == "type" and r[1] == 4 for r in f.refs)
+    assert found[("Ledger", "struct")][2:] == (4, 12, "crate")
+    assert found[("Ledger", "impl")][2] in (6, 7)
+    assert found[("close", "function")][2:] == (12, 12, "crate::books")
+    assert set(kinds(f)) == {"Ledger", "Audit", "total", "books", "close", "settle", "LIMIT", "Sig", "body", "Kind"}
+    assert f.imports == [("std::fmt", None), ("shop::stock", None), ("shop::price", "cost"), ("shop::tax", None), ("shop::tax::rules::*", None)]
+    assert f.impls == [("Ledger", "Audit", 6, 1), ("Ledger", None, 7, 1)]
+    used = {("unimplemented", "macro"), ("total", "method"), ("settle", "call"), ("count", "path"), ("assert", "macro"), ("valid", "call"), ("post", "call"), ("save", "method")}
+    types = {"Totals", "Line", "Vec", "Payload", "Field", "Entry", "Clone", "Display", "Ledger", "Audit", "Page", "T"}
+    assert used | {(t, "type") for t in types} == uses(f)
+    assert next(r for r in f.refs if r[0] == "settle")[4] == "crate::books::close"
+    assert not any(r[0] == "Ledger" and r[1] == 4 for r in f.refs), "a definition's name is no use of it"
 
 
 @pytest.mark.parametrize(("path", "module"), [("src/mcp/mod.rs", ["mcp"]), ("src/mcp/wire.rs", ["mcp", "wire"]), ("src/lib.rs", []), ("x/src/mcp/mod.rs", ["mcp"]), ("main.rs", []), ("a/b.rs", ["a", "b"])])
@@ -75,26 +76,26 @@ def test_rust_container_of_a_file_module():
     assert f.refs == [("read_message", 1, 14, "call", "crate::mcp::serve")]
 
 
-TYPESCRIPT = """import { helper as h, type T } from './util';
-import Auth, * as ns from './auth';
-import '../polyfill';
+TYPESCRIPT = """import { slug as s, type Tag } from './text';
+import Shelf, * as all from './shelf';
+import '../setup';
 
-export interface Storage {
-  get(key: string): string;
+export interface Store {
+  find(id: string): Item;
 }
-export type UserId = string;
-export enum Role { Admin }
-export abstract class AuthService<T> extends Base {
-  private x = new Foo();
-  login(): void {
-    h();
-    this.refresh();
+export type ItemId = string;
+export enum Size { Small }
+export abstract class Catalog<T> extends Base {
+  private cache = new Map();
+  list(): void {
+    s();
+    this.reload();
   }
   abstract sig(): void;
-  async refresh<T>(a: { b: string }): Promise<void> { await gen<T>(1); }
+  async reload<T>(a: { b: string }): Promise<void> { await pull<T>(1); }
   #secret() { this.#secret(); }
 }
-export function createOrder(): { a: string } { return maybe?.run(); }
+export function open(): { a: string } { return maybe?.run(); }
 function over(a: string): void;
 const arrow = () => { inner(`x ${tagged(1)} y`); };
 // function comment() {}
@@ -103,25 +104,25 @@ const note = "export function decoy(): void {}", re = /call(it)/g;
 
 
 def test_typescript():
-    f = facts("src/auth/service.ts", TYPESCRIPT)
-    assert kinds(f) == {"Storage": "trait", "UserId": "type", "Role": "enum", "AuthService": "struct", "login": "function", "refresh": "function", "createOrder": "function"}
-    assert {s[4] for s in f.symbols} == {"src/auth/service"}
-    assert f.imports == [("src/auth/util::helper", "h"), ("src/auth/util::T", None), ("src/auth/auth", "Auth"), ("src/auth/auth", "ns"), ("src/polyfill", None)]
-    assert uses(f) == {("h", "call"), ("refresh", "method"), ("gen", "call"), ("run", "method"), ("inner", "call"), ("tagged", "call")}
-    assert next(r for r in f.refs if r[0] == "h")[4] == "src/auth/service::AuthService::login"
+    f = facts("src/app/catalog.ts", TYPESCRIPT)
+    assert kinds(f) == {"Store": "trait", "ItemId": "type", "Size": "enum", "Catalog": "struct", "list": "function", "reload": "function", "open": "function"}
+    assert {x[4] for x in f.symbols} == {"src/app/catalog"}
+    assert f.imports == [("src/app/text::slug", "s"), ("src/app/text::Tag", None), ("src/app/shelf", "Shelf"), ("src/app/shelf", "all"), ("src/setup", None)]
+    assert uses(f) == {("s", "call"), ("reload", "method"), ("pull", "call"), ("run", "method"), ("inner", "call"), ("tagged", "call")}
+    assert next(r for r in f.refs if r[0] == "s")[4] == "src/app/catalog::Catalog::list"
 
 
-JAVASCRIPT = """import { helper as h } from './util';
-import './polyfill';
-const fs = require('fs'), { a } = require("../q");
+JAVASCRIPT = """import { slug as s } from './text';
+import './setup';
+const os = require('os'), { a } = require("../q");
 
-export class AuthService {
-  login() { h(); new Auth(); new ns.Thing; }
-  static async *gen() {}
+export class Catalog {
+  list() { s(); new Shelf(); new all.Thing; }
+  static async *pages() {}
 }
-export default function createOrder() {}
-const run = async (x) => {
-  createOrder();
+export default function open() {}
+const boot = async (x) => {
+  open();
 };
 let short = x => go(x), n = 3;
 var named = function other() { deep(); };
@@ -132,93 +133,93 @@ after();
 
 
 def test_javascript():
-    f = facts("src/auth/service.js", JAVASCRIPT)
-    assert kinds(f) == {"AuthService": "struct", "login": "function", "gen": "function", "createOrder": "function", "run": "function", "short": "function", "named": "function", "meth": "function"}
-    assert f.imports == [("src/auth/util::helper", "h"), ("src/auth/polyfill", None), ("fs", "fs"), ("src/q", None)]
-    assert {("Auth", "call"), ("Thing", "method"), ("h", "call"), ("createOrder", "call"), ("go", "call"), ("deep", "call"), ("z", "call"), ("click", "call"), ("after", "call"), ("require", "call")} == uses(f)
+    f = facts("src/app/catalog.js", JAVASCRIPT)
+    assert kinds(f) == {"Catalog": "struct", "list": "function", "pages": "function", "open": "function", "boot": "function", "short": "function", "named": "function", "meth": "function"}
+    assert f.imports == [("src/app/text::slug", "s"), ("src/app/setup", None), ("os", "os"), ("src/q", None)]
+    assert {("Shelf", "call"), ("Thing", "method"), ("s", "call"), ("open", "call"), ("go", "call"), ("deep", "call"), ("z", "call"), ("click", "call"), ("after", "call"), ("require", "call")} == uses(f)
     where = {r[0]: r[4] for r in f.refs}
-    assert where["go"].endswith("::short") and where["deep"].endswith("::named") and where["after"] == "src/auth/service.js"
+    assert where["go"].endswith("::short") and where["deep"].endswith("::named") and where["after"] == "src/app/catalog.js"
 
 
-PYTHON = '''import os, sys as system
+PYTHON = '''import json, re as regex
 from __future__ import annotations
-from .util import helper as h
+from .text import slug as s
 from ..core import base
 from . import sibling
-from typing import *
+from math import *
 
-MAX_RETRIES = 3
+PAGE_SIZE = 3
 Mixed = 1
 TYPED: int = 2
 if True:
     NESTED = 1
 
-class AuthService(Base()):
+class Catalog(Base()):
     CLASS_LEVEL = 1
     @decorate(1)
-    async def login(self, x=default()):
-        h(); self.refresh()
+    async def list(self, x=default()):
+        s(); self.reload()
         return f"{shown(1)}"
 
-def run():
-    """def decoy(): pass"""
+def boot():
+    \"\"\"def decoy(): pass\"\"\"
     é = créer()
 '''
 
 
 def test_python():
-    f = facts("pkg/auth/service.py", PYTHON)
-    assert {s[:2] for s in f.symbols} == {("MAX_RETRIES", "const"), ("TYPED", "const"), ("NESTED", "const"), ("AuthService", "struct"), ("login", "function"), ("run", "function")}
-    assert next(s for s in f.symbols if s[0] == "login")[2:] == (17, 15, "pkg.auth.service")
-    assert f.imports == [("os", None), ("sys", "system"), ("pkg.auth.util::helper", "h"), ("pkg.core::base", None), ("pkg.auth::sibling", None), ("typing::*", None)]
+    f = facts("pkg/app/catalog.py", PYTHON)
+    assert {x[:2] for x in f.symbols} == {("PAGE_SIZE", "const"), ("TYPED", "const"), ("NESTED", "const"), ("Catalog", "struct"), ("list", "function"), ("boot", "function")}
+    assert next(x for x in f.symbols if x[0] == "list")[2:] == (17, 15, "pkg.app.catalog")
+    assert f.imports == [("json", None), ("re", "regex"), ("pkg.app.text::slug", "s"), ("pkg.core::base", None), ("pkg.app::sibling", None), ("math::*", None)]
     where = {r[0]: r[1:] for r in f.refs}
-    assert where["decorate"][3] == "pkg.auth.service::AuthService" and where["default"][3] == "pkg.auth.service::AuthService::login" == where["shown"][3]
-    assert where["refresh"][2] == "method" and where["créer"][:2] == (23, 10)
+    assert where["decorate"][3] == "pkg.app.catalog::Catalog" and where["default"][3] == "pkg.app.catalog::Catalog::list" == where["shown"][3]
+    assert where["reload"][2] == "method" and where["créer"][:2] == (23, 10)
     with pytest.raises(ParseError):
         facts("x.py", "def (")
 
 
-GO = """package auth
+GO = """package stock
 
 import (
-	"fmt"
-	h "helper"
-	_ "side/effect"
+\t"os"
+\tt "text"
+\t_ "side/effect"
 )
 import . "dots"
 
-type Storage interface {
-	Get(key string) string
+type Store interface {
+\tFind(id string) Item
 }
-type User struct{ Name string }
+type Item struct{ Label string }
 type (
-	Alias = Other
-	Box[T any] struct{}
-	ID int
+\tAlias = Other
+\tBox[T any] struct{}
+\tID int
 )
-const MaxRetries, Two = 3, 4
+const Limit, Two = 3, 4
 const (
-	A = iota
-	B
+\tA = iota
+\tB
 )
 
-func CreateOrder() {}
-func (u *User) Login() error {
-	CreateOrder()
-	fmt.Println("func decoy() {}")
-	go func() { inner() }()
-	return `raw
+func Open() {}
+func (i *Item) Sell() error {
+\tOpen()
+\tt.Print("func decoy() {}")
+\tgo func() { inner() }()
+\treturn `raw
 func no() {}`
 }
 """
 
 
 def test_go():
-    f = facts("auth/service.go", GO)
-    assert kinds(f) == {"Storage": "trait", "User": "struct", "Alias": "type", "Box": "struct", "ID": "type", "MaxRetries": "const", "Two": "const", "A": "const", "B": "const", "CreateOrder": "function", "Login": "function"}
-    assert f.imports == [("fmt", None), ("helper", "h"), ("side/effect", "_"), ("dots", ".")]
-    assert {(r[0], r[3], r[4]) for r in f.refs} == {("CreateOrder", "call", "auth::Login"), ("Println", "method", "auth::Login"), ("inner", "call", "auth::Login")}
-    assert facts("cmd/a/main.go", "package main\n\nfunc main() {}\n").symbols == [("main", "function", 3, 6, "cmd/a/main")]
+    f = facts("stock/item.go", GO)
+    assert kinds(f) == {"Store": "trait", "Item": "struct", "Alias": "type", "Box": "struct", "ID": "type", "Limit": "const", "Two": "const", "A": "const", "B": "const", "Open": "function", "Sell": "function"}
+    assert f.imports == [("os", None), ("text", "t"), ("side/effect", "_"), ("dots", ".")]
+    assert {(r[0], r[3], r[4]) for r in f.refs} == {("Open", "call", "stock::Sell"), ("Print", "method", "stock::Sell"), ("inner", "call", "stock::Sell")}
+    assert facts("cmd/x/main.go", "package main\n\nfunc main() {}\n").symbols == [("main", "function", 3, 6, "cmd/x/main")]
 
 
 def test_paths():

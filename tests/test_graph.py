@@ -271,7 +271,7 @@ def test_older_schema_is_filled_and_unknown_kinds_are_calls(spark):
     assert tuple(g.refs.first()) == ("f", "a.rs", 1, 1, "call", "")
     odd = refs.withColumn("kind", F.lit("odd"))
     assert from_frames(spark, refs=odd).refs.first().kind == "call"
-    assert str(UnsupportedSchema(99, 2)) == "database schema version 99 is newer than supported version 2"
+    assert str(UnsupportedSchema(99, 2)) == "the index has schema version 99; this version reads up to 2"
 
 
 def test_plans_have_no_nested_loops(spark):

@@ -123,16 +123,16 @@ def test_remote_scan_agrees_with_the_local_walk(spark, tmp_path):
 
 
 CORPUS = {
-    "rust/src/lib.rs": "//! AuthService is only named here.\npub struct AuthService;\n\npub fn create_order() {}\n\npub fn run() {\n    // create_order is called, not defined\n    create_order();\n}\n",
-    "ts/src/service.ts": "export class TsService {\n  run(): void {\n    helper();\n  }\n}\n\nexport function helper(): void {}\n\nconst note = \"export function helper(): void {}\";\n",
-    "js/src/service.js": "export class JsService {\n  login() {\n    createOrder();\n  }\n}\n\nexport function createOrder() {}\n\nconst decoy = \"export function createOrder() {}\";\n",
-    "js/src/Widget.jsx": "export function Widget() {\n  return <div />;\n}\n",
-    "py/pkg/service.py": "class PyService:\n    def run(self):\n        create_order()\n\ndef create_order():\n    pass\n\n# def create_order() in a comment\ntext = \"def create_order():\"\n",
-    "go/auth/service.go": "package auth\n\ntype GoUser struct{}\n\nfunc CreateOrder() {}\n",
+    "rs/src/till.rs": "/* struct Drawer is described here: fn ring_up() {} */\nuse crate::coin::Coin;\n\n#[derive(Debug)]\npub struct Drawer(Vec<Coin>);\n\nfn ring_up(d: &Drawer) -> u32 {\n    d.0.len() as u32 // ring_up(\n}\n",
+    "ts/desk.ts": "// class Desk in a comment\nimport { stamp } from './stamp';\nexport default class Desk { seal() { stamp(`class Desk {}`); } }\nenum Shelf { Top }\n",
+    "js/stamp.js": "const text = 'function stamp() {}';\nexport const stamp = (ink) => ink + text;\nstamp(1);\n",
+    "js/Panel.jsx": "import { stamp } from './stamp';\n\nexport function Panel() { return <p title=\"function Panel\">{stamp('x')}</p>; }\n",
+    "py/till.py": '"""class Drawer: documented."""\n\ndef ring_up(drawer):\n    return len(drawer)\n\nNOTE = "def ring_up(x):"\n',
+    "go/till.go": "package till\n\n// type Drawer struct\ntype Drawer struct{ coins []int }\n\nfunc RingUp(d Drawer) int { return len(d.coins) }\n",
 }
 GOLD = [
-    ("AuthService", "rust/src/lib.rs", 2), ("create_order", "rust/src/lib.rs", 4), ("create_order", "py/pkg/service.py", 5), ("TsService", "ts/src/service.ts", 1), ("helper", "ts/src/service.ts", 7),
-    ("GoUser", "go/auth/service.go", 3), ("CreateOrder", "go/auth/service.go", 5), ("JsService", "js/src/service.js", 1), ("createOrder", "js/src/service.js", 7), ("Widget", "js/src/Widget.jsx", 1), ("PyService", "py/pkg/service.py", 1),
+    ("Drawer", "rs/src/till.rs", 5), ("Drawer", "go/till.go", 4), ("ring_up", "rs/src/till.rs", 7), ("ring_up", "py/till.py", 3), ("Desk", "ts/desk.ts", 3), ("Shelf", "ts/desk.ts", 4),
+    ("stamp", "js/stamp.js", 2), ("Panel", "js/Panel.jsx", 3), ("RingUp", "go/till.go", 6), ("NOTE", "py/till.py", 6),
 ]
 
 
@@ -142,5 +142,5 @@ def test_definitions_of_the_decoy_corpus(spark, tmp_path):
     assert counts(index.index_path(str(tmp_path / "src"))) == (6, 0, 0, 0)
     gold = spark.createDataFrame([("all", *g) for g in GOLD], "corpus string, name string, file string, line int")
     found = index.graph.symbols.join(gold.select("name").distinct(), "name", "left_semi").filter("kind <> 'impl'").selectExpr("'all' AS corpus", "name", "path AS file", "start_line AS line")
-    assert tuple(scores(found, gold, ["corpus"], ["name", "file", "line"]).first()) == ("all", 11, 0, 0, 1.0, 1.0, 1.0)
-    assert [c["path"] for c in index.callers("createOrder")] == ["js/src/service.js"]
+    assert tuple(scores(found, gold, ["corpus"], ["name", "file", "line"]).first()) == ("all", 10, 0, 0, 1.0, 1.0, 1.0)
+    assert [c["path"] for c in index.callers("stamp")] == ["js/Panel.jsx", "js/stamp.js", "ts/desk.ts"]
