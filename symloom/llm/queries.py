@@ -10,6 +10,7 @@ from symloom.llm.ann import op4_nearest_neighbours
 from symloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from symloom.llm.langid import op3_language_id
 from symloom.llm.licenses import op5_licenses
+from symloom.llm.oracles import OP9_SQL, OP10_SQL
 from symloom.llm.packing import op2_best_fit_packing
 from symloom.llm.pii import op9_pii
 from symloom.llm.quality import op7_quality
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_pii": OP9_SQL, "op10_secrets": OP10_SQL}
