@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from symloom.plans import pages
+
 _GRAPH = """
 WITH RECURSIVE
 const AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM part) AS p, greatest(1, (SELECT count(*) FROM part) // 3) AS n),
@@ -116,7 +118,7 @@ def _rank(table: str, by: str, order: str) -> str:
     return f"{_GRAPH} SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS INTEGER) AS rank FROM {table}"
 
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = pages.ORACLES | {
     "definition": _rank("symbols", "name", "path, start_line, start_col, module_path, kind"),
     "definition_qualified": _rank("(SELECT module_path || '::' || name AS qualified_name, kind, path, start_line, start_col FROM symbols)", "qualified_name", "path, start_line, start_col, kind"),
     "references": _rank("refs", "name", "path, start_line, start_col, kind, container"),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from symloom.functions.names import identity
 from symloom.operators import accuracy, dependencies, envelope, impact, lookups, resolve, target
+from symloom.plans import pages
 from symloom.plans.projection import meant_definitions, star_graph
 from symloom.plans.storage import stored
 from symloom.schema import Graph
@@ -229,4 +230,4 @@ def accuracy_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.scores(found.unionByName(first), both, ["method"], ["name", "from_place", "path", "start_line"])
 
 
-QUERIES["accuracy_prf1"] = accuracy_prf1
+QUERIES |= {f.__name__: f for f in (accuracy_prf1, pages.plugin_symbols, pages.plugin_references, pages.plugin_files)}
