@@ -18,20 +18,25 @@ within two bits of it, which bounds every group by geometry.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import materialize, spread, table, texts_of
+from symloom.llm.common import materialize, spread, table, texts_of, with_columns
 from symloom.llm.components import connected_components
 
 RADIUS = 4
 PAIR_LIMIT = 64
+#: Bits that mark the ids whose rows need a join (16 MB).
+MARK_BITS = 1 << 27
+_BUCKET_BYTES = 4096
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
 
@@ -130,19 +135,48 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return marked.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _mark_place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """The hashed ids as a bitmap, which has one size whatever their number."""
+    place = ids.select((_mark_place() + 1).alias("place"))  # buckets and bits count places from one
+    parts = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros((MARK_BITS // 8 // _BUCKET_BYTES, _BUCKET_BYTES), np.uint8)
+    for r in parts.collect():
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their group's smallest, one row for each such id; all columns stay.
 
-    Of rows that share that id, one with the smallest text stays. Rows without a doc_id always stay.
+    Of rows of the group that share that id, one with the smallest text stays. Rows without a doc_id always stay.
+
+    Ids that go, or that repeat, are marked in a bitmap of fixed size. Rows
+    without a mark stay without being shuffled; the few others are joined with
+    the ids that stay. However full the bitmap, the result is the same.
     """
-    found = near_duplicates(docs, pair_limit)
-    kept = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__symloom_n")), "kept")
-    once = kept.filter("__symloom_n = 1").select("doc_id")
-    again = kept.filter("__symloom_n > 1").select("doc_id")
-    single = docs.join(once, "doc_id", "left_semi")
+    found = materialize(near_duplicates(docs, pair_limit).filter("doc_id is not null"), "found")
+    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
+    bits = docs.sparkSession.sparkContext.broadcast(_marks(ids.filter("n > 1 or doc_id <> component_id")))
+
+    @F.pandas_udf("boolean")
+    def marked(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((bits.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    known = docs.filter("doc_id is not null").withColumn("__symloom_marked", marked(_mark_place()))
+    rest = known.filter("__symloom_marked").select(docs.columns)
+    kept = found.filter("doc_id = component_id")
+    once = rest.join(kept.join(ids.filter("n = 1"), "doc_id", "left_semi").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    repeated = rest.join(ids.filter("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    printed = with_columns(repeated, "text", {"__symloom_print": "string"}, lambda: lambda t: (f"{simhash64(t):016x}",))
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__symloom_rank", F.row_number().over(order)).filter("__symloom_rank = 1")
-    return single.unionByName(repeated.select(docs.columns)).unionByName(docs.filter("doc_id is null"))
+    again = printed.join(kept.select("doc_id", F.col("fingerprint").alias("__symloom_print")).hint("merge"), ["doc_id", "__symloom_print"], "left_semi").withColumn("__symloom_rank", F.row_number().over(order)).filter("__symloom_rank = 1")
+    parts = [known.filter("not __symloom_marked"), once, again, docs.filter("doc_id is null")]
+    return reduce(DataFrame.unionByName, [p.select(docs.columns) for p in parts])
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 import xxhash
 
-from symloom.llm.simhash import near_duplicates, simhash64
+from symloom.llm import simhash
+from symloom.llm.simhash import near_duplicates, representatives, simhash64
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -75,3 +76,17 @@ def test_long_text_and_chunks():
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_representatives(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "MARK_BITS", bits)
+    rows = [(i, t) for i, t in corpus(3)]
+    rows += [(rows[20][0], rows[20][1]), (10, "zz last"), (5000, rows[30][1]), (5000, "aa of its own"), (None, rows[30][1]), (None, None)]
+    want = sorted({d for d, _, root in brute_force([r for r in rows if r[0] is not None]) if d == root})
+    assert 5000 in want
+    docs = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, fp long")
+    got = representatives(docs).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
+    assert sum(r.doc_id is None for r in got) == 2 and all(r.fp == r.doc_id for r in got)
+    assert {(r.doc_id, r.text) for r in got} <= set(rows) and (5000, "aa of its own") in {(r.doc_id, r.text) for r in got}
