@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import crc_bucket, materialize, table
+from symloom.llm.common import crc_bucket, drop_table, materialize, scratch, table, written
 from symloom.llm.decontaminate import decontaminate
 from symloom.llm.packing import pack_documents
 from symloom.llm.pii import sanitise
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order. A stage's own tables, and its input, are deleted once its result is written."""
+    docs, previous = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if previous is not None:
+            drop_table(spark, previous)
+        previous = written()[-1]
     return docs

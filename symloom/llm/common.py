@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SLICE_ROWS = 512
 _own_folder: list[str] = []
+_scopes: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +52,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/symloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, all but the last, which is the result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        *inner, result = _scopes.pop() or [None]
+        for path in inner:
+            drop_table(spark, path)
+        if result is not None:
+            _scopes[-1].append(result)
+
+
+def written() -> list[str]:
+    """The tables of the current scope, oldest first."""
+    return list(_scopes[-1])
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialize`` wrote; nothing may read it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for scope in _scopes:
+        if path in scope:
+            scope.remove(path)
+
+
 def tasks_for(rows: int, rows_per_task: int) -> int:
     """How many tasks ``rows`` need if each is to hold about ``rows_per_task``."""
     return max(1, math.ceil(rows / rows_per_task))
@@ -68,9 +100,16 @@ def crc_bucket(id_column: str, modulus: int):
     return F.crc32(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
-def texts_of(batches: Iterator, column: int) -> Iterator[tuple]:
-    """Each Arrow batch with one of its columns as a list of str, null as ''."""
+def slices(batches: Iterator) -> Iterator:
+    """The batches in parts of at most ``SLICE_ROWS`` rows, so that few texts at a time are Python objects."""
     for batch in batches:
+        for k in range(0, max(1, batch.num_rows), SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
+def texts_of(batches: Iterator, column: int) -> Iterator[tuple]:
+    """Each part of the batches with one of its columns as a list of str, null as ''."""
+    for batch in slices(batches):
         yield batch, [x or "" for x in batch.column(column).to_pylist()]
 
 

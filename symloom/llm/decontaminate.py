@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.automaton import SuffixAutomaton
-from symloom.llm.common import materialize, table, tasks_for
+from symloom.llm.common import materialize, slices, table, tasks_for
 
 WINDOW = 10
 WORDS_PER_AUTOMATON = 200_000
@@ -77,7 +77,7 @@ def find_hits(text: str, automaton: SuffixAutomaton) -> tuple[int, list[int], se
 def _marker(automaton, schema: pa.Schema):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sa = automaton.value
-        for batch in batches:
+        for batch in slices(batches):
             kept = batch.schema.names[:-3]
             n, spans, items = [], [], []
             old_spans, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
@@ -151,7 +151,7 @@ def cut_spans(text: str, spans: list[int]) -> str:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         text, spans = batch.schema.get_field_index("text"), batch.schema.get_field_index("__symloom_spans")
         new = [cut_spans(t, s) if s else t for t, s in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
         yield batch.set_column(text, batch.schema.field(text), pa.array(new, batch.schema.field(text).type))

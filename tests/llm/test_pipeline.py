@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from symloom.llm.common import written
 from symloom.llm.simhash import simhash64
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
@@ -59,4 +60,6 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(kept[3][i] == texts[i] for i in kept[3] if i not in changed)
     packed = docs.collect()
     assert {r.doc_id for r in packed} == set(kept[3])
+    before = len(written())
     assert sorted(map(tuple, packed)) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert len(written()) == before + 1, "only the result is left"
