@@ -114,18 +114,6 @@ def significant_terms(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     return sorted(r.term for r in top.select("term").collect())
 
 
-def _document_frequencies(vocabulary):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df, n = TermCounter(vocabulary.value), Counter(), 0
-        for _, texts in texts_of(batches, 0):
-            for text in texts:
-                df.update(counter(text).keys())
-            n += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df.keys()], pa.int32()), pa.array([n, *df.values()], pa.int64())], ["term", "df"])
-
-    return count
-
-
 class BlockMaxIndex:
     """Unit vectors by postings, in blocks of examples with their largest weights."""
 
@@ -209,41 +197,58 @@ class ToxicityModel:
         return [self.ids[i] for i in near.tolist()], [names[t] for t in terms[np.argsort(-values, kind="stable")][:10].tolist()]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Learn from the labelled rows; document frequencies count every row of ``docs``.
+@dataclass
+class Lesson:
+    """The labelled sample (doc_id, text, label), its class sizes and those of all labels, and the terms chosen."""
 
-    Where no term tells the classes apart, every text gets the share of label 1.
-    """
-    spark = docs.sparkSession
+    sample: DataFrame
+    counts: dict[int, int]
+    totals: dict[int, int]
+    vocabulary: dict[str, int]
+
+
+def choose_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Lesson:
     sample, totals = labelled_sample(docs, labels, label, per_class)
     sample = materialize(sample, "examples")
     counts = {0: 0, 1: 0} | {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    terms = significant_terms(sample, counts)
-    vocabulary = {t: i for i, t in enumerate(terms)}
-    sent = spark.sparkContext.broadcast(vocabulary)
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, df = 0, np.zeros(len(terms))
-    for r in texts.mapInArrow(_document_frequencies(sent), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        if r.term < 0:
-            n = r.df
-        else:
-            df[r.term] = r.df
-    idf = np.log((1 + n) / (1 + df)) + 1
+    return Lesson(sample, counts, totals, {t: i for i, t in enumerate(significant_terms(sample, counts))})
+
 
-    def coded():
+def term_counts(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """``docs`` with the column counts: 'term:count' of each known term of the whole text, blank-joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
         counter = TermCounter(sent.value)
         return lambda t: (" ".join(f"{i}:{k}" for i, k in counter(t).items()),)
 
-    rows = with_columns(sample, "text", {"counts": "string"}, coded).select("doc_id", "label", "counts").orderBy("doc_id").collect()
-    vote = np.array([totals[c] / max(counts[c], 1) for c in (0, 1)])
-    bags = [Counter({int(i): int(k) for i, k in (x.split(":") for x in r["counts"].split())}) for r in rows]
+    return with_columns(docs, "text", {"counts": "string"}, make)
+
+
+def read_counts(counts: str) -> Counter:
+    return Counter({int(i): int(k) for i, k in (x.split(":") for x in counts.split())})
+
+
+def fit_model(lesson: Lesson, bags: DataFrame) -> ToxicityModel:
+    """The model; document frequencies are those of ``bags``, which has the counts of every row of the corpus."""
+    n, df = 0, np.zeros(len(lesson.vocabulary))
+    terms = F.when(F.col("counts") == "", F.array(F.lit("-1"))).otherwise(F.concat(F.array(F.lit("-1")), F.split("counts", " ")))  # -1 counts the rows
+    for r in bags.select(F.explode(terms).alias("x")).groupBy(F.substring_index("x", ":", 1).cast("int").alias("term")).count().collect():
+        if r.term < 0:
+            n = r["count"]
+        else:
+            df[r.term] = r["count"]
+    idf = np.log((1 + n) / (1 + df)) + 1
+    rows = term_counts(lesson.sample, lesson.vocabulary).select("doc_id", "label", "counts").orderBy("doc_id").collect()
+    vote = np.array([lesson.totals[c] / max(lesson.counts[c], 1) for c in (0, 1)])
+    sampled = [read_counts(r["counts"]) for r in rows]
     labelled = np.array([r.label for r in rows], np.int64)
-    full = [i for i, bag in enumerate(bags) if bag]
-    empty = labelled[[i for i, bag in enumerate(bags) if not bag]]
-    blank = ((empty == 1).sum() * vote[1] + 0.5) / ((empty == 1).sum() * vote[1] + (empty == 0).sum() * vote[0] + 1)
-    model = ToxicityModel(vocabulary, idf, None, [rows[i].doc_id for i in full], labelled[full], vote, np.zeros(3), float(blank))
-    vectors = [model.vector(bags[i]) for i in full]
-    model.index = BlockMaxIndex(vectors, len(terms))
+    full = [i for i, bag in enumerate(sampled) if bag]
+    empty = labelled[[i for i, bag in enumerate(sampled) if not bag]]
+    blank = ((empty == 1).sum() * vote[1] + 0.5) / ((empty == 1).sum() * vote[1] + (empty == 0).sum() * vote[0] + 2)
+    model = ToxicityModel(lesson.vocabulary, idf, None, [rows[i].doc_id for i in full], labelled[full], vote, np.zeros(3), float(blank))
+    vectors = [model.vector(sampled[i]) for i in full]
+    model.index = BlockMaxIndex(vectors, len(lesson.vocabulary))
     shares = [model.votes(*v, without=i) for i, v in enumerate(vectors)]
     x = np.array([(s, c * (2 * s - 1)) for s, c, near in shares if len(near)])
     y = np.array([model.labels[i] for i, s in enumerate(shares) if len(s[2])], float)
@@ -252,6 +257,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     return model
 
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+    """Learn from the labelled rows; document frequencies count every row of ``docs``.
+
+    Where no term tells the classes apart, every text gets the share of label 1,
+    as if there were half a toxic row and one and a half others more: without
+    labels it is a quarter, and nothing is rejected.
+    """
+    lesson = choose_terms(docs, labels, label, per_class)
+    return fit_model(lesson, term_counts(docs.select(F.col("text").cast("string")), lesson.vocabulary).select("counts"))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """``docs`` with the probability that each row's whole text is toxic; null counts as ''."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -263,6 +279,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score")
     return with_columns(docs, "text", {column: "double"}, make)
 
 
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """(doc_id, score) per row of ``docs`` (doc_id, text): learning and scoring with one pass over the texts, whose counts are stored."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lesson = choose_terms(docs, labels, label, per_class)
+    bags = materialize(term_counts(rows, lesson.vocabulary).select("doc_id", "counts"), "bags")
+    sent = docs.sparkSession.sparkContext.broadcast(fit_model(lesson, bags))
+    return with_columns(bags, "counts", {"score": "double"}, lambda: lambda c: (sent.value.score(read_counts(c))[0],)).select("doc_id", "score")
+
+
 def toxicity_evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score, evidence_ids and evidence_terms (comma-joined) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -282,6 +307,5 @@ def toxicity_evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit_toxicity(docs, labels.filter(crc_bucket("doc_id", 5) != 0))
-    scored = score_toxicity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model)
+    scored = score_documents(docs, labels.filter(crc_bucket("doc_id", 5) != 0))
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

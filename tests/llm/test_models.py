@@ -11,7 +11,7 @@ from symloom.llm.common import crc_bucket, logistic
 from symloom.llm.langid import fit_languages, identify_languages
 from symloom.llm.licenses import fit_licences, scan_licences
 from symloom.llm.quality import fit_quality, indicators, score_quality
-from symloom.llm.toxicity import BlockMaxIndex, TermCounter, fit_toxicity, score_toxicity, toxicity_evidence
+from symloom.llm.toxicity import BlockMaxIndex, TermCounter, fit_toxicity, score_documents, score_toxicity, toxicity_evidence
 
 SYLLABLES = {"aa": ["the", "ing", "wh", "ou", "ed"], "bb": ["sch", "ung", "ein", "ö", "kei"], "cc": ["eau", "é", "oi", "qu", "ç"]}
 
@@ -66,6 +66,9 @@ def test_toxicity(spark):
     held = [x for x in got if x.held and x.doc_id < 600]
     assert len(held) > 80 and all((x.score >= 0.5) == (x.doc_id % 5 == 0) for x in held)
     by_id = {x.doc_id: x.score for x in got}
+    one_pass = score_documents(docs, known.filter(crc_bucket("doc_id", 5) != 0)).collect()
+    pairs = [sorted((x.doc_id, round(x.score, 9)) for x in rows) for rows in (one_pass, got)]
+    assert pairs[0] == pairs[1]
     assert by_id[1000] == by_id[1001] < 0.5 < by_id[1002]
     evidence = toxicity_evidence(docs.filter("doc_id in (0, 1)").select("doc_id", "text"), model).orderBy("doc_id").collect()
     assert all(int(i) % 5 == 0 for i in evidence[0].evidence_ids.split(",")) and evidence[1].evidence_ids == ""
@@ -74,7 +77,7 @@ def test_toxicity(spark):
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [x.score for x in score_toxicity(docs, fit_toxicity(docs, none)).collect()] == [0.5, 0.5]
+    assert [x.score for x in score_toxicity(docs, fit_toxicity(docs, none)).collect()] == [0.25, 0.25]
     assert score_toxicity(docs.limit(0), fit_toxicity(docs.limit(0), none)).collect() == []
 
 
