@@ -33,7 +33,7 @@ QUERY_MODULUS = 100
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 64 << 20
 MAX_LISTS = 4096
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.99
 TUNING_QUERIES = 200
 #: Rows of a list, and queries, that one task compares at once.
 BLOCK_ROWS = 8192
