@@ -22,21 +22,19 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import materialize, spread, table, texts_of, with_columns
+from symloom.llm.common import map_batches, materialize, spread, table, texts_of, with_columns
 from symloom.llm.components import connected_components
 
 RADIUS = 4
 PAIR_LIMIT = 64
-#: Bits that mark the ids whose rows need a join (16 MB).
+#: Bits that mark the ids whose rows need a join: 16 MB in 4096 buckets, which may be broadcast.
 MARK_BITS = 1 << 27
-_BUCKET_BYTES = 4096
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
 
@@ -76,7 +74,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for each row of ``docs``; a null text counts as empty (fingerprint zero)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprint, "doc_id long, fp long")
 
 
 def _ball_keys(fp: Column) -> Column:
@@ -110,7 +108,7 @@ def links(prints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     few = members.filter(F.col("n") <= pair_limit)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b")
     crowd = materialize(members.filter(F.col("n") > pair_limit).select("fp").distinct(), "crowd")
-    balls = spread(crowd, crowd.count(), 500, "fp").select("fp", F.explode(_points(F.col("fp"))).alias("point"))
+    balls = spread(crowd, crowd.count(), 200, "fp").select("fp", F.explode(_points(F.col("fp"))).alias("point"))
     at_point = balls.groupBy("point").agg(F.collect_list("fp").alias("near")).filter(F.size("near") > 1)
     stars = at_point.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     return pairs.unionByName(stars).distinct()
@@ -127,7 +125,7 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    prints = materialize(spread(distinct.select("fp"), distinct.count(), 20_000, "fp"), "prints")
+    prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
     groups = materialize(connected_components(links(prints, pair_limit)), "groups")
     root = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -139,14 +137,17 @@ def _mark_place() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """The hashed ids as a bitmap, which has one size whatever their number."""
+def _marks(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): the hashed ids as a bitmap of at most MARK_BITS / 32768 rows, whatever their number."""
     place = ids.select((_mark_place() + 1).alias("place"))  # buckets and bits count places from one
-    parts = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros((MARK_BITS // 8 // _BUCKET_BYTES, _BUCKET_BYTES), np.uint8)
-    for r in parts.collect():
-        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
+    return place.groupBy(F.bitmap_bucket_number("place").alias("__symloom_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__symloom_bits"))
+
+
+def _is_marked() -> Column:
+    """Whether the row's place is set in its bucket's bits."""
+    at = F.bitmap_bit_position(_mark_place() + 1)
+    byte = F.conv(F.hex(F.substring("__symloom_bits", F.floor(at / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
 
 
 def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -160,14 +161,9 @@ def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """
     found = materialize(near_duplicates(docs, pair_limit).filter("doc_id is not null"), "found")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
-    bits = docs.sparkSession.sparkContext.broadcast(_marks(ids.filter("n > 1 or doc_id <> component_id")))
-
-    @F.pandas_udf("boolean")
-    def marked(place: pd.Series) -> pd.Series:
-        at = place.to_numpy()
-        return pd.Series((bits.value[at >> 3] >> (at & 7)) & 1 == 1)
-
-    known = docs.filter("doc_id is not null").withColumn("__symloom_marked", marked(_mark_place()))
+    marks = materialize(_marks(ids.filter("n > 1 or doc_id <> component_id")), "marks")
+    known = docs.filter("doc_id is not null").withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1))
+    known = known.join(F.broadcast(marks), "__symloom_bucket", "left").withColumn("__symloom_marked", _is_marked())
     rest = known.filter("__symloom_marked").select(docs.columns)
     kept = found.filter("doc_id = component_id")
     once = rest.join(kept.join(ids.filter("n = 1"), "doc_id", "left_semi").select("doc_id").hint("merge"), "doc_id", "left_semi")
