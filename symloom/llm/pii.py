@@ -101,10 +101,10 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, disclosure: float = DIS
     entities = mentions.select("row", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\P{L}++"))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = marked.agg(F.count("*").alias("n_rows"))
-    content = F.log2(F.col("n_rows") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.col("n_rows") / (F.col("n_entity") * F.col("n_term")))
-    counted = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # the total is one row
+    total = F.lit(float(marked.count()))  # of a stored table: its footers are read
+    content = F.log2(total / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    counted = pairs.join(entities, "entity").join(terms, "term")
     return counted.filter((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
 
 
