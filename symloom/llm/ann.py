@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import materialize, table
+from symloom.llm.common import map_batches, materialize, table
 
 NEIGHBOURS = 10
 QUERY_MODULUS = 100
@@ -173,9 +173,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, target_reca
                 rows_of = np.repeat(np.arange(batch.num_rows), near.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_of)), pa.array(near.ravel().astype(np.int32))], ["query_id", "list"])
 
-    listed = materialize(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    listed = materialize(map_batches(rows.select("vec_id", "v"), assign, "vec_id long, v array<double>, list int"), "lists")
     asked = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    probes = materialize(asked.select("vec_id", "v").mapInArrow(probe, "query_id long, list int"), "probes")
+    probes = materialize(map_batches(asked.select("vec_id", "v"), probe, "query_id long, list int"), "probes")
     # One row for each list, at most MAX_LISTS: small enough to broadcast.
     blocks = listed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
     blocks = F.broadcast(blocks.join(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks")), "list"))

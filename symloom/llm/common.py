@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_ROWS = 512
+BATCH_ROWS = 1000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _own_folder: list[str] = []
 _scopes: list[list[str]] = [[]]
 
@@ -100,6 +102,18 @@ def crc_bucket(id_column: str, modulus: int):
     return F.crc32(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most ``BATCH_ROWS`` rows unless the session sets a size of its own.
+
+    Spark's 10,000 rows of whole texts make batches that weigh on an executor
+    several times over, in the JVM and in its Python workers.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator) -> Iterator:
     """The batches in parts of at most ``SLICE_ROWS`` rows, so that few texts at a time are Python objects."""
     for batch in batches:
@@ -148,7 +162,7 @@ def with_columns(docs: DataFrame, text_column: str, columns: dict[str, str], mak
     schema = docs.schema
     for name, kind in columns.items():
         schema = T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
-    return docs.mapInArrow(add, schema)
+    return map_batches(docs, add, schema)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

@@ -11,7 +11,6 @@ and the documents pass one after the other, so that no item is left out.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.automaton import SuffixAutomaton
-from symloom.llm.common import materialize, slices, table, tasks_for
+from symloom.llm.common import map_batches, materialize, slices, table, tasks_for
 
 WINDOW = 10
 WORDS_PER_AUTOMATON = 200_000
@@ -74,32 +73,44 @@ def find_hits(text: str, automaton: SuffixAutomaton) -> tuple[int, list[int], se
     return len(codes), _merged(hits), found
 
 
-def _marker(automaton, schema: pa.Schema):
+def _marker(automaton, coverage_limit: float | None):
+    """Mark hits; with a limit, also leave out rows beyond it and cut the spans of the others from their text."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sa = automaton.value
         for batch in slices(batches):
-            kept = batch.schema.names[:-3]
-            n, spans, items = [], [], []
-            old_spans, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for text, s, i in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), old_spans, old_items, strict=True):
+            place, kept = batch.schema.get_field_index("text"), batch.num_columns - 3
+            texts, n, spans, items = batch.column(place).to_pylist(), [], [], []
+            for text, s, i in zip(texts, batch.column(kept + 1).to_pylist(), batch.column(kept + 2).to_pylist(), strict=True):
                 count, hit, found = find_hits(text or "", sa)
                 n.append(count)
                 spans.append(_merged(list(zip(s[::2] + hit[::2], s[1::2] + hit[1::2], strict=True))) if s else hit)
                 items.append(sorted(found.union(i)))
-            columns = [batch.column(k) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=pa.schema([*(batch.schema.field(k) for k in range(len(kept))), *schema]))
+            columns = [*batch.columns[:kept], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            if coverage_limit is not None:
+                columns[place] = pa.array([cut_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)], batch.schema.field(place).type)
+            out = pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(k) for k in range(kept)), *_ARROW]))
+            if coverage_limit is not None:
+                out = out.filter(pa.array([_n_words_of(s) <= coverage_limit * count for s, count in zip(spans, n, strict=True)], pa.bool_()))
+            yield out
 
     return mark
 
 
+def _n_words_of(spans: list[int]) -> int:
+    return sum(spans[1::2]) - sum(spans[::2]) + len(spans) // 2
+
+
 _ARROW = pa.schema([("__symloom_n_words", pa.int64()), ("__symloom_spans", pa.list_(pa.int32())), ("__symloom_items", pa.list_(pa.string()))])
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_automaton: int = WORDS_PER_AUTOMATON) -> DataFrame:
+def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_automaton: int = WORDS_PER_AUTOMATON, coverage_limit: float | None = None) -> DataFrame:
     """``docs`` with the columns __symloom_n_words, __symloom_spans and __symloom_items.
 
     Spans are first and last word numbers, flat. Items without words have no
-    windows; a null item_id counts as the text ''.
+    windows; a null item_id counts as the text ''. With a ``coverage_limit`` rows
+    of whose words a larger share is hit are left out and spans are cut from the
+    others' text, in the pass of the last automaton.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
@@ -109,7 +120,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words
     for k in range(shards):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
         automaton = SuffixAutomaton(((x.item, normal_words(x.text)) for x in own.toLocalIterator()), window)
-        marked = marked.mapInArrow(_marker(spark.sparkContext.broadcast(automaton), _ARROW), marked.schema)
+        marked = map_batches(marked, _marker(spark.sparkContext.broadcast(automaton), coverage_limit if k + 1 == shards else None), marked.schema)
         if k + 1 < shards:
             marked = materialize(marked, "marked")
     return marked
@@ -150,21 +161,13 @@ def cut_spans(text: str, spans: list[int]) -> str:
     return b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        text, spans = batch.schema.get_field_index("text"), batch.schema.get_field_index("__symloom_spans")
-        new = [cut_spans(t, s) if s else t for t, s in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
-        yield batch.set_column(text, batch.schema.field(text), pa.array(new, batch.schema.field(text).type))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_limit: float = COVERAGE_LIMIT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_limit: float = COVERAGE_LIMIT, words_per_automaton: int = WORDS_PER_AUTOMATON) -> DataFrame:
     """``docs`` with hit spans cut from ``text``, without those of whose words more than ``coverage_limit`` are hit.
 
     Clean rows come through unchanged. All columns stay; ``n_chars``, where
     there is such a column, follows the new text.
     """
-    marked = mark_hits(docs, benchmark, window).filter(_n_hit() <= F.col("__symloom_n_words") * coverage_limit)
-    done = marked.mapInArrow(_cut, marked.schema)
+    done = mark_hits(docs, benchmark, window, words_per_automaton, coverage_limit)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size("__symloom_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done.select(docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import crc_bucket, table, texts_of
+from symloom.llm.common import crc_bucket, map_batches, table, texts_of
 
 DIMENSIONS = 1 << 15
 CENTROIDS = 4
@@ -87,7 +87,7 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def inverse_document_frequencies(texts: DataFrame) -> np.ndarray:
     """Smoothed IDF of each hashed n-gram over all rows of the one text column (at most ``DIMENSIONS`` sums reach the driver)."""
-    sums = texts.mapInArrow(_count_documents, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    sums = map_batches(texts, _count_documents, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df, n = np.zeros(DIMENSIONS), 0
     for term, k in zip(sums["term"].tolist(), sums["df"].tolist(), strict=True):
         if term < 0:
@@ -188,7 +188,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [sent.value.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

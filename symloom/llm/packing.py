@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from symloom.llm.common import materialize, table, tasks_for, texts_of
+from symloom.llm.common import map_batches, materialize, table, tasks_for, texts_of
 
 CAPACITY = 2048
 END_OF_TEXT = 0
@@ -130,7 +130,7 @@ def _pieces(tokenizer_path: str, capacity: int):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text); null and empty texts are one piece, the end mark alone."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity), _PIECE)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer_path, capacity), _PIECE)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

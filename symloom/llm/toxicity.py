@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, materialize, table, texts_of, with_columns
+from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, map_batches, materialize, table, texts_of, with_columns
 
 #: Bound of the labelled rows of each class that are kept as examples.
 SAMPLE_PER_CLASS = 4000
@@ -106,7 +106,7 @@ def _class_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def significant_terms(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     """At most ``MAX_TERMS`` terms of the sample (text, label) by the z value of the difference of two shares."""
     n0, n1 = max(counts[0], 1), max(counts[1], 1)
-    df = sample.select("text", "label").mapInArrow(_class_frequencies, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    df = map_batches(sample.select("text", "label"), _class_frequencies, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
     high, low = F.greatest((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1), F.least((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1)

@@ -58,13 +58,14 @@ def test_matches_brute_force(spark, seed, bound):
     assert sorted(map(tuple, got)) == brute_force(docs, items)
 
 
-def test_spans_are_cut(spark):
+@pytest.mark.parametrize("bound", [200_000, 10])
+def test_spans_are_cut(spark, bound):
     item = "one two three four five six seven eight nine ten eleven"
     clean = "Nothing, here. " * 20
     rows = [(1, clean, None), (2, clean + "(One two THREE four five six seven eight nine ten!) tail é.", 9), (3, item, 9), (4, None, None), (5, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate(docs, bench).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate(docs, bench, words_per_automaton=bound).collect()}
     left = clean + "(!) tail é."
     assert got == {1: (clean, None), 2: (left, len(left)), 4: (None, None), 5: ("", 0)}
 

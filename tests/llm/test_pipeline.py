@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from symloom.llm.common import written
+from symloom.llm.common import materialize, written
 from symloom.llm.simhash import simhash64
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
@@ -63,3 +63,33 @@ def test_stages_take_effect(spark, tmp_path):
     before = len(written())
     assert sorted(map(tuple, packed)) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert len(written()) == before + 1, "only the result is left"
+
+
+CLASHES = ["fp", "n", "base", "row", "score", "counts", "label", "place", "bits", "component_id", "terms", "items"]
+
+
+def odd_tables(spark, folder, rows):
+    extra = ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame([(*r, *CLASHES) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark, tmp_path):
+    rows = [(1, "alpha beta gamma delta x@y.example.org", None, None, None), (None, None, None, None, None), (None, "no id", "en", "s", 5), (2, None, None, "s", None), (3, "", "en", None, 0), (4, "alpha " * 40_000, "en", "s", 9)]
+    odd_tables(spark, tmp_path, [*rows, rows[0], rows[2]])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        assert all(r[c] == c for r in docs.collect() for c in CLASHES)
+    got = sorted(((r.doc_id, r.text and r.text[:40]) for r in docs.collect()), key=str)
+    # Null and empty texts are one group, of which the smallest id stays; rows without an id all stay.
+    want = [(1, "alpha beta gamma delta <EMAIL>"), (2, None), (4, ("alpha " * 40)[:40]), (None, None), (None, "no id"), (None, "no id")]
+    assert got == sorted(want, key=str)
