@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_OF_TEXT = 0
 GROUP_PIECES = 100_000
 #: Entries of one generation of a worker's cache, and the longest stretch worth one (longer ones hardly recur).
-_CACHE_ENTRIES = 150_000
+_CACHE_ENTRIES = 220_000
 _CACHED_CHARS = 14
 _BLOCK = 1 << 20
 _END = np.array([END_OF_TEXT], "<u4").tobytes()
@@ -61,17 +61,20 @@ class ChunkIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
         ids = self.older.get(chunk)
         if ids is None:
-            ids = self._encode(chunk)
+            if chunk.isascii() and chunk.isalpha() and chunk.islower():
+                ids = array("I", [t.id for t in self.tokenize(chunk)]).tobytes()
+            else:
+                ids = self._encode(chunk)
         if len(chunk) <= _CACHED_CHARS:
+            if len(self) >= _CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -80,7 +83,7 @@ class ChunkIds(dict):
             if (low := chunk.lower()) != chunk:
                 return self[low]
             level = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            return array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+            return array("I", [t.id for t in self.tokenize(level)]).tobytes()
         if two := _WORD_AND_MARKS.fullmatch(chunk):
             return self[two[1]] + self[two[2]]
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
