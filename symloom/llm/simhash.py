@@ -35,6 +35,11 @@ RADIUS = 4
 PAIR_LIMIT = 64
 #: Bits that mark the ids whose rows need a join: 16 MB in 4096 buckets, which may be broadcast.
 MARK_BITS = 1 << 27
+#: Words of a shingle of ``shingle_links``.
+SHINGLE_WORDS = 5
+#: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.
+ORDER_SAMPLE = 20_000
+ORDER_ENTRIES = 65_536
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
 
@@ -114,10 +119,72 @@ def links(prints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def _shingle_hashes(text: str) -> np.ndarray:
+    """The distinct hashes of a text's shingles of ``SHINGLE_WORDS`` words, words as in ``simhash64``."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    last = max(1, len(words) - SHINGLE_WORDS + 1)
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE_WORDS]), 5) for i in range(last)}
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in texts_of(batches, 1):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingle_hashes(t) for t in texts], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+
+def _usual_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts repeats, sorted, and how often."""
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(max(1, rows // ORDER_SAMPLE))) == 0)
+    counts = map_batches(sample, _sets, "doc_id long, shingles array<bigint>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    often = sorted((r.shingle, r.n) for r in counts.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_ENTRIES).collect())
+    return np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
+
+
+def shingle_links(docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between the fingerprints of all texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Exact by prefixes: in one order of all shingles, two such sets share one of
+    the first n - ceil(0.8 n) + 1 of each. The order puts shingles that a sample
+    repeats last, which keeps buckets small; any order gives the same edges.
+    Candidates of differing fingerprints are verified over their whole sets.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))  # a text's hash is its key, so that copies are one
+    sent = docs.sparkSession.sparkContext.broadcast(_usual_shingles(texts, docs.count()))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual, often = sent.value
+        for batch, values in texts_of(batches, 1):
+            first, sizes = [], []
+            for value in values:
+                own = _shingle_hashes(value)
+                at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
+                rank = np.where(usual[at] == own, often[at], 0) if len(usual) else np.zeros(len(own), np.int64)
+                first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
+                sizes.append(len(own))
+            prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["key", "fp", "size", "first"])
+
+    heads = map_batches(texts, prefixes, "key long, fp long, size int, first array<bigint>")
+    buckets = heads.select(F.explode("first").alias("shingle"), F.struct("key", "fp", "size").alias("x")).groupBy("shingle").agg(F.collect_set("x").alias("xs")).filter(F.size("xs") > 1)
+    pairs = buckets.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b")).filter("a.key < b.key and a.fp <> b.fp and 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)")
+    pairs = materialize(pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "candidates")
+    keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
+    marks = materialize(_marks(keys), "candidate-marks")
+    marked = texts.withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left").filter(_is_marked()).select("doc_id", "text")
+    sets = materialize(map_batches(marked.dropDuplicates(["doc_id"]), _sets, "doc_id long, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("key_a"), F.col("shingles").alias("of_a")).hint("merge"), "key_a").join(sets.select(F.col("doc_id").alias("key_b"), F.col("shingles").alias("of_b")).hint("merge"), "key_b")
+    alike = both.filter(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b")))  # Jaccard >= 0.8
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: bool = False) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Documents link if their fingerprints differ in at most four bits;
+    Documents link if their fingerprints differ in at most four bits and, with
+    ``shingles``, if their sets of five-word shingles have a similarity of 0.8;
     component_id is the smallest doc_id reachable. Null and empty texts share
     fingerprint zero and link like any other. Repeated rows stay repeated. A
     null doc_id keeps its row and never becomes a component's id unless the
@@ -126,7 +193,10 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
-    groups = materialize(connected_components(links(prints, pair_limit)), "groups")
+    edges = links(prints, pair_limit)
+    if shingles:
+        edges = edges.unionByName(materialize(shingle_links(docs), "alike")).distinct()
+    groups = materialize(connected_components(edges), "groups")
     root = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = root.join(smallest, "root").select("fp", "component_id")
@@ -150,7 +220,7 @@ def _is_marked() -> Column:
     return F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
 
 
-def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: bool = False) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their group's smallest, one row for each such id; all columns stay.
 
     Of rows of the group that share that id, one with the smallest text stays. Rows without a doc_id always stay.
@@ -159,7 +229,7 @@ def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     without a mark stay without being shuffled; the few others are joined with
     the ids that stay. However full the bitmap, the result is the same.
     """
-    found = materialize(near_duplicates(docs, pair_limit).filter("doc_id is not null"), "found")
+    found = materialize(near_duplicates(docs, pair_limit, shingles).filter("doc_id is not null"), "found")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
     marks = materialize(_marks(ids.filter("n > 1 or doc_id <> component_id")), "marks")
     known = docs.filter("doc_id is not null").withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1))

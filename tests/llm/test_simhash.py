@@ -90,3 +90,29 @@ def test_representatives(spark, monkeypatch, bits):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
     assert sum(r.doc_id is None for r in got) == 2 and all(r.fp == r.doc_id for r in got)
     assert {(r.doc_id, r.text) for r in got} <= set(rows) and (5000, "aa of its own") in {(r.doc_id, r.text) for r in got}
+
+
+def test_stage_reaches_five_word_similarity(spark):
+    import corpus_pipeline
+    from symloom.llm.simhash import RADIUS, near_duplicates
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(r.randrange(40, 80)))) for i in range(60)]
+    for i in range(60):
+        words = rows[i][1].split()
+        for _ in range(i % 4):
+            words[r.randrange(len(words))] = "other"
+        rows.append((100 + i, " ".join(words) + (" tail" if i % 2 else "")))
+    near = {i: i for i, _ in rows}
+    alike = lambda a, b: (simhash64(a) ^ simhash64(b)).bit_count() <= RADIUS or len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    for i in range(60):
+        if alike(rows[i][1], rows[60 + i][1]):
+            near[100 + i] = i
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == set(near.values())
+    assert len({x.component_id for x in near_duplicates(docs).collect()}) > len(kept), "the fingerprints alone miss some"
