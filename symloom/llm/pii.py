@@ -36,6 +36,8 @@ LEAST_CONTEXTS = 2
 #: Code points looked at on either side of a mention.
 CONTEXT_CHARS = 80
 _WORD = r"\p{L}{3,}+"
+#: The kinds that stand for base spans, which are no words, and words.
+_MARK_OR_WORD = rf"<(?:EMAIL|IP|CARD|PHONE)>|{_WORD}"
 
 
 def _digits(value: Column) -> Column:
@@ -125,21 +127,63 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, least_co
     return marked.join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", F.expr(f"cast(array() as array<{SPAN}>)")).alias("terms"))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+def _holders(docs: DataFrame) -> DataFrame:
+    """(row, key, entities, words) of each row that holds an entity, with the words of three letters or more outside its base spans; ``key`` is a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.xxhash64(text).alias("key"), text.alias("text")).withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    found = F.regexp_extract_all(replaced(F.col("text"), F.col("base")), F.lit(_MARK_OR_WORD), F.lit(0))
+    words = F.array_distinct(F.transform(F.filter(found, lambda w: ~w.startswith("<")), F.lower))
+    return rows.select("row", "key", entities.alias("entities"), words.alias("words"))
+
+
+def _without(text: Column, terms: Column) -> Column:
+    """``text``, whose base spans are replaced already, with every word among ``terms`` as <TERM>."""
+    found = F.regexp_extract_all(text, F.lit(_MARK_OR_WORD), F.lit(0))
+    between = F.split(text, _MARK_OR_WORD, -1)
+    hidden = F.zip_with(between, found, lambda b, w: F.concat(b, F.when(F.array_contains(terms, F.lower(w)), F.lit("<TERM>")).otherwise(F.coalesce(w, F.lit("")))))
+    return F.array_join(hidden, "")
+
+
+def disclosing_in_texts(docs: DataFrame, holders: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_CONTEXTS) -> DataFrame:
+    """(entity, term) pairs above the threshold, both anywhere in a text.
+
+    n(c), n(t) and n(c,t) all count rows; ``least_texts`` different texts must
+    hold both. Entities in fewer texts than that can have no such pair and are
+    left out before the words are looked at.
+    """
+    total = F.lit(float(docs.count()))
+    held = holders.select("key", F.explode("entities").alias("entity"))
+    per_text = held.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity")
+    entities = materialize(per_text.agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts).filter(F.col("n_entity") < total).select("entity", "n_entity"), "entities")
+    kept = holders.select("row", "key", "words", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity", "left_semi")
+    per_text = kept.select("entity", "key", F.explode("words").alias("term")).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term")
+    pairs = materialize(per_text.agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts), "pairs")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\P{L}++"))).alias("term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    content = F.log2(total / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    return pairs.join(entities, "entity").join(terms, "term").filter(pmi >= disclosure * content).select("entity", "term")
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_CONTEXTS) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, as <EMAIL> or <TERM>.
 
-    Rows without personal data come through unchanged and unshuffled. All
-    columns stay; ``n_chars``, where there is such a column, follows the new text.
+    A term that discloses an entity is replaced throughout the texts that hold
+    the entity, however far apart they stand. Rows without personal data come
+    through unchanged and unshuffled. All columns stay; ``n_chars``, where there
+    is such a column, follows the new text.
     """
-    marked = materialize(_marked(docs), "marked")
-    terms = _term_spans(marked, disclosing_terms(docs, marked, disclosure, least_contexts))
+    holders = materialize(_holders(docs), "holders")
+    pairs = disclosing_in_texts(docs, holders, disclosure, least_texts)
+    told = holders.select("row", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("row").agg(F.collect_set("term").alias("__symloom_terms"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__symloom_base", base_spans(text))
     clean = rows.filter(F.size("__symloom_base") == 0).select(docs.columns)
     found = rows.filter(F.size("__symloom_base") > 0).withColumn("__symloom_row", F.xxhash64("doc_id", text))
-    found = found.join(terms.select(F.col("row").alias("__symloom_row"), F.col("terms").alias("__symloom_terms")), "__symloom_row", "left")
-    spans = F.concat("__symloom_base", F.coalesce("__symloom_terms", F.expr(f"cast(array() as array<{SPAN}>)")))
-    found = found.withColumn("text", replaced(F.col("text"), spans))
+    found = found.join(told.withColumnRenamed("row", "__symloom_row"), "__symloom_row", "left")
+    plain = replaced(F.col("text"), F.col("__symloom_base"))
+    found = found.withColumn("text", F.when(F.col("__symloom_terms").isNull(), plain).otherwise(_without(plain, F.col("__symloom_terms"))))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(found.select(docs.columns))

@@ -94,3 +94,20 @@ def test_query_digests(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.spans.split(",term")[0] == text
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in base) for k in KINDS[:4]]
+
+
+def test_sanitising_counts_copies_in_one_unit(spark):
+    rows = [(i, f"{'Write' if i % 2 else 'Send'} to Zebulon at z@corp.example") for i in range(20)] + [(100 + i, "to write at send") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all("Zebulon" not in r.text for r in sanitise(docs).collect() if r.doc_id < 20)
+    same = " ".join(["pad"] * 40)
+    rows = [(i, f"number{i} {same} Zebulon z@corp.example {same}") for i in range(20)] + [(100 + i, "pad") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all("Zebulon" not in r.text for r in sanitise(docs).collect() if r.doc_id < 20), "one context in many texts"
+
+
+def test_sanitising_reaches_the_whole_text(spark):
+    far = " ".join(["again"] * 60)
+    rows = [(1, f"Dear Zebulon {far} z@corp.example"), (2, f"z@corp.example {far} from Zebulon to Zebulon")] + [(i, "again dear from to") for i in range(3, 40)]
+    clean = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[1] == f"Dear <TERM> {far} <EMAIL>" and clean[2] == f"<EMAIL> {far} from <TERM> to <TERM>"
