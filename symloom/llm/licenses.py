@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symloom.llm.common import materialize, table
 
@@ -29,6 +30,8 @@ THRESHOLD = 0.6
 #: Least share of a notice's words that a paragraph must hold.
 OVERLAP = 0.6
 MAX_NGRAMS = 4096
+#: What parts blocks of lines: lines without a letter or digit, as in empty comment lines.
+_BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: Paragraphs without any of these stand for the unknown class at once.
 ANCHOR = "(?i)licen[cs]|copyright|copyleft|spdx|warrant|redistribut|public domain|creative commons|cc by|cc-by|cc0|gpl|mozilla public|permission is hereby|all rights reserved"
 
@@ -211,31 +214,40 @@ def _confirmed(words: Column, family: Column) -> Column:
 
 
 def classify_paragraphs(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """(row, paragraph, family, probability) of each licence notice in ``docs`` (doc_id, text).
+    """(row, paragraph, line, family, probability) of each licence notice in ``docs`` (doc_id, text).
 
-    ``row`` is a hash of doc_id and text that equal rows share; paragraphs are lines, from 0.
+    ``row`` is a hash of doc_id and text that equal rows share; paragraphs are
+    the blocks between blank lines. Each line of a block is classified, and
+    where it has several also the block with its lines joined (line -1), which
+    finds wrapped notices; it counts for a family none of its lines shows.
     """
     model = model or fit_licences()
     spark, names = docs.sparkSession, [f"z{i}" for i in range(len(model.families))]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).filter(F.col("text").rlike(ANCHOR)).dropDuplicates(["row"]).select("row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(ANCHOR))
-    words = materialize(lines.select("row", "paragraph", _word_column(F.col("line")).alias("words")), "paragraphs")
+    distinct = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).filter(F.col("text").rlike(ANCHOR.replace(" ", r"\W+"))).dropDuplicates(["row"])
+    lines = F.split("body", "\n")
+    units = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("body", r"\n\W*", " ").alias("text")))).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)")))
+    blocks = distinct.select("row", F.posexplode(F.split("text", _BLANK)).alias("paragraph", "body")).select("row", "paragraph", F.explode(units).alias("u"))
+    words = materialize(blocks.filter(F.col("u.text").rlike(ANCHOR)).select("row", "paragraph", "u.line", _word_column(F.col("u.text")).alias("words")), "paragraphs")
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    grams = words.select("row", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    grams = words.select("row", "paragraph", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     entries = json.dumps([{"gram": g, **dict(zip(names, w, strict=True))} for g, w in model.weights.items()])
     kind = "array<struct<gram:string," + ",".join(f"{n}:double" for n in names) + ">>"
     weights = spark.range(1).select(F.explode(F.from_json(F.lit(entries), kind)).alias("w")).select("w.*")
-    summed = grams.join(F.broadcast(weights), "gram").groupBy("row", "paragraph").agg(*(F.sum(n).alias(n) for n in names))
+    summed = grams.join(F.broadcast(weights), "gram").groupBy("row", "paragraph", "line").agg(*(F.sum(n).alias(n) for n in names))
     logits = F.array(*((F.col(n) + F.lit(b)) / F.lit(model.temperature) for n, b in zip(names, model.bias, strict=True)))
     highest = F.array_max("z")
-    scored = summed.select("row", "paragraph", logits.alias("z")).select(
+    scored = summed.select("row", "paragraph", "line", logits.alias("z")).select(
         "row",
         "paragraph",
+        "line",
         F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", highest).cast("int")).alias("family"),
         (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - highest)), F.lit(0.0), lambda a, x: a + x)).alias("probability"),
     )
     likely = scored.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD))
-    return likely.join(words, ["row", "paragraph"]).filter(_confirmed(F.col("words"), F.col("family"))).select("row", "paragraph", "family", "probability")
+    found = likely.join(words, ["row", "paragraph", "line"]).filter(_confirmed(F.col("words"), F.col("family")))
+    last = F.max("line").over(Window.partitionBy("row", "paragraph", "family"))
+    return found.withColumn("last", last).filter("line >= 0 or last < 0").select("row", "paragraph", "line", "family", "probability")
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

@@ -165,3 +165,11 @@ def test_licence_scores_match_the_model(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     row = classify_paragraphs(docs).first()
     assert row.probability == pytest.approx(fit_licences().probabilities("Released under the MIT License.")["mit"], rel=1e-9)
+
+
+def test_wrapped_licence_notices(spark):
+    header = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    texts = {1: header, 2: "words before\n\n" + header + "\n\nReleased under the MIT License.\n", 3: "This software is in the public\ndomain of wishes\n\nand she renewed\nher license"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_notices, x.families) for x in scan_licences(docs).collect())
+    assert got == [(1, 1, "gpl"), (2, 2, "gpl,mit"), (3, 0, "")]
