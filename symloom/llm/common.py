@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 SLICE_ROWS = 512
 BATCH_ROWS = 1000
@@ -127,9 +128,13 @@ def texts_of(batches: Iterator, column: int) -> Iterator[tuple]:
         yield batch, [x or "" for x in batch.column(column).to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` rows (doc_id, text, label) of each class, and how many labelled ids each class has in all.
 
+    The texts of both classes together hold at most ``most_chars`` characters:
+    rows are taken whole, in order, while their class's half lasts, and none
+    whose text alone takes over a sixteenth of it.
+
     ``labels`` holds the rows that may be learned from. Labels other than 0 and
     1 are left out, of repeated ids the larger label and the smaller text count.
     The choice follows a hash of the id. The ids chosen are at most
@@ -140,7 +145,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     ranked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(ranked[0].unionByName(ranked[1]))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), totals
+    sample = texts.join(chosen, "doc_id").filter(F.length("text") <= most_chars // 32).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return sample.withColumn("__chars", so_far).filter(F.col("__chars") <= most_chars // 2).select("doc_id", "text", "label"), totals
 
 
 def with_columns(docs: DataFrame, text_column: str, columns: dict[str, str], make) -> DataFrame:
@@ -149,12 +156,22 @@ def with_columns(docs: DataFrame, text_column: str, columns: dict[str, str], mak
     ``make()`` is called once per task and returns a function from a text to the
     tuple of new values; null texts come as ''.
     """
+
+    def make_all():
+        value = make()
+        return lambda texts: map(value, texts)
+
+    return with_columns_at_once(docs, text_column, columns, make_all)
+
+
+def with_columns_at_once(docs: DataFrame, text_column: str, columns: dict[str, str], make) -> DataFrame:
+    """As ``with_columns``, with a function from a list of at most ``SLICE_ROWS`` texts to the tuples of all."""
     kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = make()
+        values = make()
         for batch, texts in texts_of(batches, place):
-            new = list(zip(*map(value, texts), strict=True)) or [()] * len(columns)
+            new = list(zip(*values(texts), strict=True)) or [()] * len(columns)
             fields = [batch.schema.field(i) for i in range(batch.num_columns)] + [pa.field(c, kinds[t]) for c, t in columns.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kinds[t]) for x, t in zip(new, columns.values(), strict=True))], schema=pa.schema(fields))
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, table, with_columns
 
 DIMENSIONS = 1 << 16
-#: Bound of the labelled rows of each class that the model is fitted on.
+#: Bounds of the labelled rows that the model is fitted on: rows of each class, characters in all.
 SAMPLE_PER_CLASS = 5000
+SAMPLE_CHARS = 40_000_000
 THRESHOLD = 0.3
 _SHARES = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5)
 _REPEAT_COUNTS = 8
@@ -105,7 +106,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     The curve is fitted on margins of rows that the model fitting them has not
     seen (five folds), weighted so that the classes stand as in all labels.
     """
-    sample, totals = labelled_sample(docs, labels, label, per_class)
+    sample, totals = labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS)
     table_ = with_columns(sample, "text", {"at": "string"}, lambda: lambda t: (",".join(map(str, indicators(t).tolist())),)).select("doc_id", "label", "at").orderBy("doc_id").toPandas()
     y = table_["label"].to_numpy(np.int64)
     rows = [np.array(x.split(","), np.int32) for x in table_["at"]]

@@ -1,311 +1,323 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their 4-grams with a mark at the word's start. The terms
-used are those whose document frequencies differ significantly between the
-classes of a bounded sample of labelled rows, and by a multiple, so that the
-everyday terms of a class's languages or lengths are not among them; their IDF
-comes from all documents. The sample's vectors stand in an inverted index whose postings are
-cut into blocks of examples, each with its largest weight: a block is scored
-only while its bound can still reach the k-th best similarity, so the neighbours
-are exact. Votes weighted by similarity, and how near the neighbours are, give a
-calibrated probability; the neighbours and the terms shared are the evidence.
+The terms are all words of a bounded sample of labelled rows; none is left out.
+A term's weight is its IDF over all documents times the standardised difference
+z of its shares of the two classes (supervised term weighting), so that the
+everyday words of a language add little to a cosine and the words that set a
+class apart add much. z is computed for every term alike, whatever the size of
+the sample; where one class has no example it is 1 for all.
+
+The examples' vectors stand in an inverted index whose postings are cut into
+blocks of examples, each with its largest weight: a block is scored only while
+its bound can still reach the k-th best cosine, so the neighbours are exact.
+Votes weighted by squared cosine, and how near the neighbours are, give a
+calibrated probability; the neighbours and the heaviest terms are the evidence.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, map_batches, materialize, table, texts_of, with_columns
+from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, map_batches, materialize, table, texts_of, with_columns_at_once
 
-#: Bound of the labelled rows of each class that are kept as examples.
+#: Bounds of the sample of labelled rows that are kept as examples: rows of each class, characters in all.
 SAMPLE_PER_CLASS = 4000
-MAX_TERMS = 4096
-#: Least standardised difference of a term's shares of the two classes, least ratio of them, and least frequency in the sample.
-LEAST_Z = 6.0
-LEAST_LIFT = 4.0
-LEAST_DF = 5
+SAMPLE_CHARS = 64_000_000
 NEIGHBOURS = 20
 BLOCK = 64
+#: Blocks scored before the bounds are looked at again, doubled each time.
+FIRST_BLOCKS = 8
+#: Terms, those of most examples first, whose weights stand in a dense matrix, and queries multiplied by it at once.
+DENSE_TERMS = 512
+AT_ONCE = 64
 THRESHOLD = 0.5
-_MEMO_ENTRIES = 100_000
-_MEMO_CHARS = 16
 _TEXT_BLOCK = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def chunk_terms(chunk: str) -> list[str]:
-    """The terms of a stretch between white space, repeats included."""
-    out = []
-    for word in _WORD.findall(chunk.lower()):
-        marked = "^" + word
-        out.append("=" + word)
-        out += [marked[i : i + 4] for i in range(len(marked) - 3)]
-    return out
-
-
-class _Memo(dict):
-    """What ``make`` returns for each stretch of a text, kept for short ones."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        if len(self) >= _MEMO_ENTRIES:
-            self.clear()
-        value = self.make(chunk)
-        if len(chunk) <= _MEMO_CHARS:
-            self[chunk] = value
-        return value
-
-
-def _chunks(text: str) -> Iterator[list[str]]:
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, lower-cased, in parts of bounded size cut at blanks."""
     at = 0
     while at < len(text):
         cut = text.find(" ", at + _TEXT_BLOCK)
         cut = len(text) if cut < 0 else cut
-        yield text[at:cut].split()
+        yield _WORD.findall(text[at:cut].lower())
         at = cut
 
 
-class TermCounter:
-    """Counts the known terms of texts; most stretches have none and cost one lookup."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.memo = _Memo(lambda chunk: tuple(vocabulary[t] for t in chunk_terms(chunk) if t in vocabulary))
-
-    def __call__(self, text: str) -> Counter:
-        counts: Counter = Counter()
-        for chunks in _chunks(text):
-            for terms in filter(None, map(self.memo.__getitem__, chunks)):
-                counts.update(terms)
-        return counts
-
-
-def _class_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = (Counter(), Counter())
-    for batch, texts in texts_of(batches, 0):
-        for text, label in zip(texts, batch.column(1).to_pylist(), strict=True):
-            df[label].update({t for chunks in _chunks(text) for c in set(chunks) for t in chunk_terms(c)})
-    for label in (0, 1):
-        terms = list(df[label].items())
-        for k in range(0, len(terms), 50_000):
-            part = terms[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([n * (1 - label) for _, n in part], pa.int64()), pa.array([n * label for _, n in part], pa.int64())], ["term", "n0", "n1"])
+def bag_of(text: str) -> Counter:
+    bag: Counter = Counter()
+    for words in words_of(text):
+        bag.update(words)
+    return bag
 
 
-def significant_terms(sample: DataFrame, counts: dict[int, int]) -> list[str]:
-    """At most ``MAX_TERMS`` terms of the sample (text, label) by the z value of the difference of two shares."""
-    n0, n1 = max(counts[0], 1), max(counts[1], 1)
-    df = map_batches(sample.select("text", "label"), _class_frequencies, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
-    high, low = F.greatest((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1), F.least((F.col("n0") + 0.5) / n0, (F.col("n1") + 0.5) / n1)
-    top = df.filter((F.col("n0") + F.col("n1") >= LEAST_DF) & (high >= LEAST_LIFT * low)).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return sorted(r.term for r in top.select("term").collect())
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[0] + size[0] - 1, start[1], ..."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
-    """Unit vectors by postings, in blocks of examples with their largest weights."""
+    """Unit vectors by postings, in blocks of examples with their largest weights.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # alike examples share blocks
+    The terms that most examples hold would make up most postings; their
+    weights stand in a dense matrix instead, whose product with a batch of
+    queries gives the exact part of every cosine that they make up. A block's
+    bound is the largest such part in it and the block's bounds of the other
+    terms.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, alike: list | None = None, dense: int = DENSE_TERMS):
+        """``vectors`` are (terms, weights) of each example; examples next to each other by ``alike`` share blocks."""
+        order = sorted(range(len(vectors)), key=lambda i: (alike[i], i) if alike else i)
         self.example = np.array(order, np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for place, i in enumerate(order):
-            for t, v in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                postings[t].append((place, v))
-        self.bound = np.zeros((terms, max(self.blocks, 1)))
-        self.start = np.zeros((terms, max(self.blocks, 1) + 1), np.int64)
-        self.place = [np.array([p for p, _ in x], np.int64) for x in postings]
-        self.weight = [np.array([v for _, v in x]) for x in postings]
-        for t, (place, weight) in enumerate(zip(self.place, self.weight, strict=True)):
-            if len(place):
-                np.maximum.at(self.bound[t], place // BLOCK, weight)
-                self.start[t] = np.searchsorted(place, np.arange(max(self.blocks, 1) + 1) * BLOCK)
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the exact k best above zero; ties go to the smaller number."""
-        bound = values @ self.bound[terms]
-        found, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] * (1 + 1e-9) < least or bound[b] <= 0:
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        place = np.repeat(np.arange(len(order)), sizes)
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        usual = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:dense]
+        #: Row of each term in the dense matrix, or -1.
+        self.row = np.full(terms, -1)
+        self.row[usual] = np.arange(len(usual))
+        self.matrix = np.zeros((len(usual), self.blocks * BLOCK))
+        of_all = self.row[term] >= 0
+        self.matrix[self.row[term[of_all]], place[of_all]] = weight[of_all]
+        term, place, weight = term[~of_all], place[~of_all], weight[~of_all]
+        by = np.argsort(term, kind="stable")  # places ascend within a term
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        block = self.place // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        #: One entry for each term and block it has postings in: block, bound, first posting, number of postings.
+        self.block, self.first = block[first], first
+        self.size = np.diff(np.r_[first, len(term)])
+        self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(term[first], np.arange(terms + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, values), (example numbers, cosines) of the exact k best above zero, to nine places; ties go to the smaller number."""
+        head = np.zeros((len(queries), len(self.matrix)))
+        for q, (terms, values) in enumerate(queries):
+            row = self.row[terms]
+            head[q, row[row >= 0]] = values[row >= 0]
+        return [self._nearest(*query, part, k, without[q] if without else -1) for q, (query, part) in enumerate(zip(queries, head @ self.matrix, strict=True))]
+
+    def _nearest(self, terms: np.ndarray, values: np.ndarray, head: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        other = self.row[terms] < 0
+        terms, values = terms[other], values[other]
+        size = self.entry[terms + 1] - self.entry[terms]
+        entry, value = _ranges(self.entry[terms], size), np.repeat(values, size)
+        block = self.block[entry]
+        bounds = (head.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, self.bound[entry] * value, minlength=self.blocks)) * (1 + 1e-9)
+        order = np.argsort(-bounds, kind="stable")
+        found, cosine, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST_BLOCKS
+        while done < len(order):
+            now = order[done : done + step]
+            now = now[(bounds[now] > 0) & (bounds[now] >= least)]
+            if not len(now):
                 break
-            score = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                s, e = self.start[t, b], self.start[t, b + 1]
-                if s < e:
-                    score[self.place[t][s:e] - b * BLOCK] += v * self.weight[t][s:e]
-            at = np.flatnonzero(score > max(least - 1e-9, 1e-12))
-            example = self.example[at + b * BLOCK]
-            at, example = at[example != without], example[example != without]
-            found, cosine = np.concatenate((found, example)), np.concatenate((cosine, score[at]))
-            best = np.lexsort((found, -np.round(cosine, 9)))[:k]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[now] = True
+            here = wanted[block]
+            at = entry[here]
+            posting = _ranges(self.first[at], self.size[at])
+            score = np.bincount(self.place[posting], self.weight[posting] * np.repeat(value[here], self.size[at]), minlength=len(head)) + np.where(np.repeat(wanted, BLOCK), head, 0.0)
+            near = np.flatnonzero(score > max(least - 1e-9, 1e-9))
+            if len(near) > 4 * k:  # the k best and their equals
+                near = near[score[near] >= np.partition(score[near], -k)[-k] - 2e-9]
+            example, part = self.example[near], np.round(score[near], 9)
+            found, cosine = np.concatenate((found, example[example != without])), np.concatenate((cosine, part[example != without]))
+            best = np.lexsort((found, -cosine))[:k]
             found, cosine = found[best], cosine[best]
             least = float(cosine[-1]) if len(cosine) == k else 0.0
+            done, step = done + step, 2 * step
         return found, cosine
 
 
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
+    #: IDF times relevance of each term.
+    weight: np.ndarray
+    index: BlockMaxIndex | None
     ids: list[int]
     labels: np.ndarray
     #: What a vote of an example of each class counts, so that the classes stand as in all labels.
     vote: np.ndarray
-    curve: np.ndarray
     #: The score of texts without a known term.
     blank: float
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        values = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, values / max(np.linalg.norm(values), 1e-12)
-
-    def votes(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[float, float, np.ndarray]:
-        """(share of the votes for label 1, nearest cosine, neighbours)."""
-        near, cosine = self.index.nearest(terms, values, NEIGHBOURS, without)
-        if not len(near):
-            return 0.0, 0.0, near
-        weight = cosine**2 * self.vote[self.labels[near]]
-        return float(weight[self.labels[near] == 1].sum() / weight.sum()), float(cosine[0]), near
-
-    def score(self, counts: Counter) -> tuple[float, np.ndarray]:
-        if not counts:
-            return self.blank, np.zeros(0, np.int64)
-        share, nearest, near = self.votes(*self.vector(counts))
-        if not len(near):
-            return self.blank, near
-        return logistic(float(self.curve @ (share, nearest * (2 * share - 1), 1.0))), near
-
-    def explain(self, counts: Counter, near: np.ndarray) -> tuple[list[int], list[str]]:
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
+
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a bag of words; words that no example holds have no coordinate."""
+        known = [w for w in bag if w in self.vocabulary]
+        return self.unit(np.array([self.vocabulary[w] for w in known], np.int64), np.array([bag[w] for w in known], float))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = (1 + np.log(counts)) * self.weight[terms]
+        return terms, values / max(np.linalg.norm(values), 1e-300)
+
+    def votes(self, bags: list[Counter], without: list[int] | None = None) -> list[tuple[float, float, np.ndarray]]:
+        """(share of the votes for label 1, nearest cosine, neighbours) of each bag."""
+        out = []
+        for near, cosine in self.index.nearest([self.vector(b) for b in bags], NEIGHBOURS, without):
+            weight = cosine**2 * self.vote[self.labels[near]]
+            out.append((float(weight[self.labels[near] == 1].sum() / weight.sum()), float(cosine[0]), near) if len(near) else (0.0, 0.0, near))
+        return out
+
+    def scores(self, bags: list[Counter]) -> list[tuple[float, np.ndarray]]:
+        """(score, neighbours) of each bag."""
+        votes = [v for k in range(0, len(bags), AT_ONCE) for v in self.votes(bags[k : k + AT_ONCE])]
+        return [(logistic(float(self.curve @ (share, nearest * (2 * share - 1), 1.0))) if len(near) else self.blank, near) for share, nearest, near in votes]
+
+    def explain(self, bag: Counter, near: np.ndarray) -> tuple[list[int], list[str]]:
         """The ids of the neighbours and the terms that weigh most."""
-        names = {i: t for t, i in self.vocabulary.items()}
-        terms, values = self.vector(counts)
+        names = {self.vocabulary[w]: w for w in bag if w in self.vocabulary}
+        terms, values = self.vector(bag)
         return [self.ids[i] for i in near.tolist()], [names[t] for t in terms[np.argsort(-values, kind="stable")][:10].tolist()]
 
 
-@dataclass
-class Lesson:
-    """The labelled sample (doc_id, text, label), its class sizes and those of all labels, and the terms chosen."""
-
-    sample: DataFrame
-    counts: dict[int, int]
-    totals: dict[int, int]
-    vocabulary: dict[str, int]
-
-
-def choose_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Lesson:
-    sample, totals = labelled_sample(docs, labels, label, per_class)
-    sample = materialize(sample, "examples")
-    counts = {0: 0, 1: 0} | {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    return Lesson(sample, counts, totals, {t: i for i, t in enumerate(significant_terms(sample, counts))})
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in texts_of(batches, 1):
+        bags = [bag_of(t) for t in texts]
+        columns = [batch.column(0), batch.column(2), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "terms", "counts"])
 
 
-def term_counts(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """``docs`` with the column counts: 'term:count' of each known term of the whole text, blank-joined."""
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
+    """How many rows ``docs`` has, and how many of them hold each known term; each task sends one row a term."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make():
-        counter = TermCounter(sent.value)
-        return lambda t: (" ".join(f"{i}:{k}" for i, k in counter(t).items()),)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows, df = frozenset(sent.value), 0, Counter()
+        for _, texts in texts_of(batches, 0):
+            rows += len(texts)
+            for text in texts:
+                df.update(known & {w for words in words_of(text) for w in words})
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(sent.value.__getitem__, df)], pa.int32()), pa.array([rows, *df.values()], pa.int64())], ["term", "n"])
 
-    return with_columns(docs, "text", {"counts": "string"}, make)
+    counted = map_batches(docs.select(F.col("text").cast("string")), count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
-def read_counts(counts: str) -> Counter:
-    return Counter({int(i): int(k) for i, k in (x.split(":") for x in counts.split())})
-
-
-def fit_model(lesson: Lesson, bags: DataFrame) -> ToxicityModel:
-    """The model; document frequencies are those of ``bags``, which has the counts of every row of the corpus."""
-    n, df = 0, np.zeros(len(lesson.vocabulary))
-    terms = F.when(F.col("counts") == "", F.array(F.lit("-1"))).otherwise(F.concat(F.array(F.lit("-1")), F.split("counts", " ")))  # -1 counts the rows
-    for r in bags.select(F.explode(terms).alias("x")).groupBy(F.substring_index("x", ":", 1).cast("int").alias("term")).count().collect():
-        if r.term < 0:
-            n = r["count"]
-        else:
-            df[r.term] = r["count"]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = term_counts(lesson.sample, lesson.vocabulary).select("doc_id", "label", "counts").orderBy("doc_id").collect()
-    vote = np.array([lesson.totals[c] / max(lesson.counts[c], 1) for c in (0, 1)])
-    sampled = [read_counts(r["counts"]) for r in rows]
-    labelled = np.array([r.label for r in rows], np.int64)
-    full = [i for i, bag in enumerate(sampled) if bag]
-    empty = labelled[[i for i, bag in enumerate(sampled) if not bag]]
-    blank = ((empty == 1).sum() * vote[1] + 0.5) / ((empty == 1).sum() * vote[1] + (empty == 0).sum() * vote[0] + 2)
-    model = ToxicityModel(lesson.vocabulary, idf, None, [rows[i].doc_id for i in full], labelled[full], vote, np.zeros(3), float(blank))
-    vectors = [model.vector(sampled[i]) for i in full]
-    model.index = BlockMaxIndex(vectors, len(lesson.vocabulary))
-    shares = [model.votes(*v, without=i) for i, v in enumerate(vectors)]
-    x = np.array([(s, c * (2 * s - 1)) for s, c, near in shares if len(near)])
-    y = np.array([model.labels[i] for i, s in enumerate(shares) if len(s[2])], float)
-    if len(y):
-        model.curve = logistic_fit(x, y, vote[y.astype(int)])
-    return model
+def relevance(in_0: np.ndarray, in_1: np.ndarray, n_0: int, n_1: int) -> np.ndarray:
+    """The standardised difference of the shares of two classes' rows that hold each term; 1 where a class is empty."""
+    if not n_0 or not n_1:
+        return np.ones(len(in_0))
+    pooled = (in_0 + in_1) / (n_0 + n_1)
+    return np.abs(in_1 / n_1 - in_0 / n_0) / np.sqrt(pooled * (1 - pooled) * (1 / n_0 + 1 / n_1) + 1e-12)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Learn from the labelled rows; document frequencies count every row of ``docs``.
 
-    Where no term tells the classes apart, every text gets the share of label 1,
-    as if there were half a toxic row and one and a half others more: without
-    labels it is a quarter, and nothing is rejected.
+    Examples without a word have no vector. Texts without a known word get the
+    share of label 1 among such examples, as if there were half a toxic row and
+    one and a half others more: without labels it is a quarter, so that nothing
+    is rejected. ``docs`` needs doc_id and text; repeated rows count as often as
+    they stand, a null text as ''. Either table may be empty.
     """
-    lesson = choose_terms(docs, labels, label, per_class)
-    return fit_model(lesson, term_counts(docs.select(F.col("text").cast("string")), lesson.vocabulary).select("counts"))
+    sample, totals = labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS)
+    sample = materialize(sample, "examples")
+    bags = map_batches(sample.select("doc_id", "text", "label"), _bags, "doc_id long, label int, terms array<string>, counts array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    classes = np.array(bags.column("label").to_pylist(), np.int64)
+    lists = bags.column("terms").combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.string()))
+    encoded = pc.dictionary_encode(lists.flatten())
+    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+    vocabulary = {w: i for i, w in enumerate(encoded.dictionary.to_pylist())}
+    term = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = bags.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float) if bags.num_rows else np.zeros(0)
+    of_1 = np.repeat(classes, sizes) == 1
+    n, df = document_frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    in_1, in_0 = np.bincount(term[of_1], minlength=len(idf)), np.bincount(term[~of_1], minlength=len(idf))
+    sampled = [int((classes == c).sum()) for c in (0, 1)]
+    vote = np.array([totals[c] / max(sampled[c], 1) for c in (0, 1)])
+    starts = np.cumsum(sizes) - sizes
+    full = np.flatnonzero(sizes > 0)
+    empty = classes[sizes == 0]
+    blank = ((empty == 1).sum() * vote[1] + 0.5) / ((empty == 1).sum() * vote[1] + (empty == 0).sum() * vote[0] + 2)
+    ids = np.array(bags.column("doc_id").to_pylist(), np.int64)[full].tolist()
+    model = ToxicityModel(vocabulary, idf * relevance(in_0, in_1, *sampled), None, ids, classes[full], vote, float(blank))
+    vectors, alike, in_any = [], [], in_0 + in_1
+    for i in full.tolist():
+        own = slice(starts[i], starts[i] + sizes[i])
+        vectors.append(model.unit(term[own], counts[own]))
+        usual = term[own][np.argmax(counts[own] * in_any[term[own]])]  # the word that marks its language best
+        alike.append((int(usual), int(sizes[i])))
+    model.index = BlockMaxIndex(vectors, len(vocabulary), alike)
+    model.curve = _calibrated(sample, model)
+    return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """``docs`` with the probability that each row's whole text is toxic; null counts as ''."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _calibrated(sample: DataFrame, model: ToxicityModel) -> np.ndarray:
+    """The logistic curve over the votes that each example gets from the others."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        counter = TermCounter(sent.value.vocabulary)
-        return lambda t: (sent.value.score(counter(t))[0],)
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {d: i for i, d in enumerate(sent.value.ids)}
+        for batch, texts in texts_of(batches, 1):
+            own = [number.get(d, -1) for d in batch.column(0).to_pylist()]
+            votes = [v for k in range(0, len(texts), AT_ONCE) for v in sent.value.votes([bag_of(t) for t in texts[k : k + AT_ONCE]], own[k : k + AT_ONCE])]
+            near = [len(v[2]) > 0 for v in votes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v[0] for v in votes], pa.float64()), pa.array([v[1] for v in votes], pa.float64()), pa.array(near, pa.bool_())], ["doc_id", "label", "share", "nearest", "near"])
 
-    return with_columns(docs, "text", {column: "double"}, make)
+    spread = sample.select("doc_id", "text", "label").repartition(4 * sample.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    rows = map_batches(spread, left_out, "doc_id long, label int, share double, nearest double, near boolean").filter("near").orderBy("doc_id").collect()
+    sent.unpersist()
+    if not rows:
+        return np.zeros(3)
+    y = np.array([r.label for r in rows])
+    return logistic_fit(np.array([(r.share, r.nearest * (2 * r.share - 1)) for r in rows]), y.astype(float), model.vote[y])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(doc_id, score) per row of ``docs`` (doc_id, text): learning and scoring with one pass over the texts, whose counts are stored."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lesson = choose_terms(docs, labels, label, per_class)
-    bags = materialize(term_counts(rows, lesson.vocabulary).select("doc_id", "counts"), "bags")
-    sent = docs.sparkSession.sparkContext.broadcast(fit_model(lesson, bags))
-    return with_columns(bags, "counts", {"score": "double"}, lambda: lambda c: (sent.value.score(read_counts(c))[0],)).select("doc_id", "score")
+def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
+    """``docs`` with the probability that each row's whole text is toxic.
+
+    A null text counts as ''. Repeated rows get equal scores, ties between
+    examples go to the smaller doc_id, other columns stay as they are and an
+    empty table gives an empty result; ``column`` must be a new name. Very long
+    texts are read in parts, none is cut.
+    """
+    return _scored(docs, model, {column: "double"}, lambda model, bag, score, near: (score,))
 
 
 def toxicity_evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score, evidence_ids and evidence_terms (comma-joined) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        counter = TermCounter(sent.value.vocabulary)
+    def evidence(model: ToxicityModel, bag: Counter, score: float, near: np.ndarray) -> tuple:
+        ids, terms = model.explain(bag, near)
+        return score, ",".join(map(str, ids)), ",".join(terms)
+
+    return _scored(docs, model, {"score": "double", "evidence_ids": "string", "evidence_terms": "string"}, evidence)
 
-        def value(text: str) -> tuple:
-            score, near = sent.value.score(counts := counter(text))
-            ids, terms = sent.value.explain(counts, near)
-            return score, ",".join(map(str, ids)), ",".join(terms)
 
-        return value
+def _scored(docs: DataFrame, model: ToxicityModel, columns: dict[str, str], value) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def values(texts: list[str]) -> list[tuple]:
+        bags = [bag_of(t) for t in texts]
+        return [value(sent.value, bag, *scored) for bag, scored in zip(bags, sent.value.scores(bags), strict=True)]
 
-    return with_columns(docs, "text", {"score": "double", "evidence_ids": "string", "evidence_terms": "string"}, make)
+    return with_columns_at_once(docs, "text", columns, lambda: values)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score_documents(docs, labels.filter(crc_bucket("doc_id", 5) != 0))
+    model = fit_toxicity(docs, labels.filter(crc_bucket("doc_id", 5) != 0))
+    scored = score_toxicity(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model)
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
