@@ -133,8 +133,8 @@ class BlockMaxIndex:
             posting = _ranges(self.first[at], self.size[at])
             score = np.bincount(self.place[posting], self.weight[posting] * np.repeat(value[here], self.size[at]), minlength=len(head)) + np.where(np.repeat(wanted, BLOCK), head, 0.0)
             near = np.flatnonzero(score > max(least - 1e-9, 1e-9))
-            if len(near) > 4 * k:  # the k best and their equals
-                near = near[score[near] >= np.partition(score[near], -k)[-k] - 2e-9]
+            if len(near) > 4 * k:  # the k best, one that may be left out, and their equals
+                near = near[score[near] >= np.partition(score[near], -k - 1)[-k - 1] - 2e-9]
             example, part = self.example[near], np.round(score[near], 9)
             found, cosine = np.concatenate((found, example[example != without])), np.concatenate((cosine, part[example != without]))
             best = np.lexsort((found, -cosine))[:k]
