@@ -13,13 +13,13 @@ symbols AS (SELECT name, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'str
             CAST(p_size AS INTEGER) AS start_line, 1 AS start_col, module_path FROM parts),
 made AS (SELECT 'sym_' || (l_partkey % n) AS name, f.path, CAST(l_orderkey % 2147483647 AS INTEGER) AS start_line, CAST(l_linenumber AS INTEGER) AS start_col,
          CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'method' ELSE 'type' END AS kind, c.module_path || '::' || c.name AS container, l_partkey
-         FROM lineitem, const JOIN files f ON f.s_suppkey = l_suppkey JOIN parts c ON c.p_partkey = l_orderkey % p WHERE l_quantity <= 2),
+         FROM lineitem, const JOIN files f ON f.s_suppkey = l_suppkey JOIN parts c ON c.p_partkey = l_orderkey % p),
 refs AS (SELECT name, path, start_line, start_col, kind, container FROM made),
 imports AS (SELECT f.path, 'crate::m' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '::sym_' || (c_custkey % n) END AS module_path,
             CASE WHEN c_custkey % 5 = 0 THEN 'sym_' || (c_custkey % n) END AS alias
             FROM customer, const JOIN files f ON f.s_suppkey = c_custkey % s),
 impls AS (SELECT p_brand AS type_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS trait_name, path, CAST(p_size AS INTEGER) AS start_line, 1 AS start_col
-          FROM parts WHERE p_size % 2 = 0)
+          FROM parts)
 """
 
 

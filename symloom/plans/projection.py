@@ -1,7 +1,7 @@
 """A deterministic symbol graph over the star schema, so that every operator runs on tables of any size.
 
-Suppliers are files, parts symbols, small line items references, customers
-imports. Part keys are dense, so that names repeat across files and modules.
+Suppliers are files, parts symbols and impls, line items references, customers
+imports; every row of these tables takes part. Part keys are dense, so that names repeat across files and modules.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ SELECT concat('sym_', l_partkey % {{names}}) AS name, {_FILE} AS path,
        concat(c.module_path, '::', c.name) AS container, l_partkey
 FROM {{lineitem}}
 JOIN {{supplier}} s ON s_suppkey = l_suppkey
-JOIN ({_PARTS}) c ON c.p_partkey = l_orderkey % {{parts}}
-WHERE l_quantity <= 2"""
+JOIN ({_PARTS}) c ON c.p_partkey = l_orderkey % {{parts}}"""
 
 IMPORTS = f"""
 SELECT {_FILE} AS path,
@@ -43,7 +42,7 @@ FROM {{customer}} JOIN {{supplier}} s ON s_suppkey = c_custkey % {{suppliers}}""
 
 IMPLS = f"""
 SELECT p_brand AS type_name, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS trait_name, path, p_size AS start_line, 1 AS start_col
-FROM ({_PARTS}) WHERE p_size % 2 = 0"""
+FROM ({_PARTS})"""
 
 
 class _Star:

@@ -21,6 +21,39 @@ IGNORE_FILES = (".gitignore", ".ignore")
 CONTENT = "path string, content binary"
 
 
+def _class(glob: str, start: int) -> tuple[str, int] | None:
+    """The regular expression of the bracket expression at ``start`` and where it ends; None if it has no end.
+
+    A ``]`` in first place stands for itself, a range that runs backwards is
+    empty, and no class matches a slash.
+    """
+    i = start + 1
+    negated = glob.startswith(("!", "^"), i)
+    i = first = i + negated
+    points: list[tuple[str, bool]] = []  # characters, and whether each came by itself and is no escape
+    while i < len(glob) and (glob[i] != "]" or i == first):
+        if glob[i] == "\\" and i + 1 < len(glob):
+            points.append((glob[i + 1], False))
+            i += 2
+        else:
+            points.append((glob[i], True))
+            i += 1
+    if i >= len(glob):
+        return None
+    members, k = "", 0
+    while k < len(points):
+        if k + 2 < len(points) and points[k + 1] == ("-", True):
+            low, high = points[k][0], points[k + 2][0]
+            members += f"{re.escape(low)}-{re.escape(high)}" if low <= high else ""
+            k += 3
+        else:
+            members += re.escape(points[k][0])
+            k += 1
+    if negated:
+        return f"[^/{members}]", i + 1
+    return (f"(?!/)[{members}]" if members else "(?!)"), i + 1
+
+
 @lru_cache(maxsize=4096)
 def _pattern(glob: str) -> re.Pattern:
     """The regular expression of one ignore pattern without its slashes at the ends."""
@@ -37,9 +70,8 @@ def _pattern(glob: str) -> re.Pattern:
             out, i = out + "[^/]*", i + 1
         elif c == "?":
             out, i = out + "[^/]", i + 1
-        elif c == "[" and (end := glob.find("]", i + 2)) > 0:
-            body = glob[i + 1 : end].replace("\\", r"\\")
-            out, i = out + ("[^" + body[1:] if body[0] in "!^" else "[" + body) + "]", end + 1
+        elif c == "[" and (found := _class(glob, i)):
+            out, i = out + found[0], found[1]
         elif c == "\\" and i + 1 < len(glob):
             out, i = out + re.escape(glob[i + 1]), i + 2
         else:

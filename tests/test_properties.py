@@ -3,7 +3,7 @@
 import io
 from urllib.parse import quote
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from symloom.functions.names import split_qualified, symbol_target
@@ -62,7 +62,14 @@ def test_envelopes(tiers, several, empty):
     assert result.notes or (not empty and result.confidence != LOW)
 
 
-@given(st.text(alphabet="ab*?/![]\\.", max_size=8), st.text(alphabet="ab/.", min_size=1, max_size=8))
+@example("[!]", "a")
+@example("[z-a]", "b")
+@example("[[]", "[")
+@example("[a-]", "-")
+@example("[^", "a")
+@example("[\\", "a")
+@example("[&&a||~~--b]", "&")
+@given(st.text(alphabet="ab*?/![]\\.-^&", max_size=8), st.text(alphabet="ab/.", min_size=1, max_size=8))
 def test_ignore_patterns_read_anything(line, path):
     ignored(path, False, parse_rules("", line))
 
@@ -71,3 +78,13 @@ def test_last_rule_wins():
     rules = parse_rules("", "*.rs\n!keep.rs\n")
     assert ignored("x.rs", False, rules) and not ignored("d/keep.rs", False, rules)
     assert Rule.parse("", "# no") is None and Rule.parse("", "   ") is None
+
+
+def test_bracket_expressions():
+    """Which of some characters each expression matches; one without an end stands for itself."""
+    every = "abc-[]&~"
+    cases = {"[!a]": "bc-[]&~", "[^a]": "bc-[]&~", "[z-a]": "", "[a-]": "a-", "[]a]": "a]", "[!]a]": "bc-[&~", "[[]": "[", "[a-c]": "abc", "[\\]]": "]", "[a\\-c]": "ac-", "[&&~]": "&~", "[!]": "", "[!z-a]": every}
+    for glob, matched in cases.items():
+        assert "".join(c for c in every if ignored(c, False, parse_rules("", glob))) == matched, glob
+    assert ignored("[!]", False, parse_rules("", "[!]")) and ignored("[ab", False, parse_rules("", "[ab"))
+    assert not ignored("a/b", False, parse_rules("", "a[!x]b"))
