@@ -47,20 +47,16 @@ base AS ({_found("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
   UNION ALL SELECT * FROM ips WHERE len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
   UNION ALL SELECT c.* FROM cards c JOIN sums USING (rid, s) WHERE luhn % 10 = 0
   UNION ALL SELECT * FROM ({_found("phone", r"\+[0-9][ ().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15),
-ent AS (SELECT DISTINCT rid, kind || ':' || lower(v) AS entity, s, e FROM base),
-sides AS (SELECT ent.rid, entity, greatest(s - {pii.CONTEXT_CHARS}, 0) AS off, substr(t, CAST(greatest(s - {pii.CONTEXT_CHARS}, 0) + 1 AS BIGINT), CAST(s - greatest(s - {pii.CONTEXT_CHARS}, 0) AS BIGINT)) AS part FROM ent JOIN d ON d.rid = ent.rid
-          UNION ALL SELECT ent.rid, entity, e, substr(t, CAST(e + 1 AS BIGINT), {pii.CONTEXT_CHARS}) FROM ent JOIN d ON d.rid = ent.rid),
-parts AS (SELECT row_number() OVER () AS rid, rid AS doc, entity, off, part FROM sides),
-words AS ({_found("term", r"\p{L}{3,}", "parts", "part")}),
-near AS (SELECT p.doc, p.entity, lower(w.v) AS term, p.part, p.off + w.s AS s, p.off + w.e AS e FROM words w JOIN parts p USING (rid)),
-free AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = n.doc AND b.s < n.e AND n.s < b.e)),
-both_ AS (SELECT entity, term, count(*) AS nb FROM (SELECT DISTINCT entity, term, part FROM free) GROUP BY ALL HAVING count(*) >= {pii.LEAST_CONTEXTS}),
-ne AS (SELECT entity, count(DISTINCT doc_id || ':' || t) AS n FROM ent JOIN d USING (rid) GROUP BY entity),
+ent AS (SELECT DISTINCT rid, kind || ':' || lower(v) AS entity FROM base),
+words AS ({_found("term", r"\p{L}{3,}", "(SELECT * FROM d WHERE rid IN (SELECT rid FROM base))")}),
+free AS (SELECT rid, lower(v) AS term, s, e FROM words w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.s < w.e AND w.s < b.e)),
+both_ AS (SELECT entity, term, count(*) AS nb FROM (SELECT DISTINCT rid, entity, term FROM ent JOIN free USING (rid)) JOIN d USING (rid) GROUP BY ALL HAVING count(DISTINCT t) >= {pii.LEAST_TEXTS}),
+ne AS (SELECT entity, count(*) AS n FROM ent GROUP BY entity),
 nt AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\\p{{L}}+', 0))) AS term FROM d) GROUP BY term),
 tot AS (SELECT count(*) AS n FROM d),
 tell AS (SELECT entity, term FROM both_ JOIN ne USING (entity) JOIN nt USING (term), tot
          WHERE tot.n > ne.n AND log2(CAST(nb AS DOUBLE) * tot.n / (CAST(ne.n AS DOUBLE) * nt.n)) >= {pii.DISCLOSURE} * log2(CAST(tot.n AS DOUBLE) / ne.n)),
-alls AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT DISTINCT doc, 'term', s, e FROM free JOIN tell USING (entity, term)),
+alls AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT DISTINCT rid, 'term', s, e FROM free JOIN ent USING (rid) JOIN tell USING (entity, term)),
 {_joined("base", "bs", _place(pii.KINDS), "s")},
 {_joined("alls", "sp", _place(pii.KINDS), "s")}
 SELECT doc_id, {_count(pii.BASE_KINDS)}, sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans

@@ -1,26 +1,28 @@
 """Personal data by patterns and information-theoretic sanitisation, in SQL functions alone.
 
 Patterns find the base spans: e-mail and IP addresses, payment cards, phone
-numbers. Each distinct value is a protected entity c. The words around its
-mentions are terms t that may reveal it. Over the whole corpus, with N rows,
-n(c) and n(t) rows that hold them and n(c,t) different contexts that hold both,
+numbers. Each distinct value is a protected entity c. The words of the texts
+that hold it, wherever they stand, are terms t that may reveal it. Of all N
+rows, n(c), n(t) and n(c,t) hold the entity, the term, and both:
 
     PMI(c;t) = log2(n(c,t) N / (n(c) n(t)))      IC(c) = log2(N / n(c))
 
 PMI reaches IC where t never occurs without c. A term discloses c if PMI is at
-least ``DISCLOSURE`` x IC and at least ``LEAST_CONTEXTS`` different contexts
-hold both, so that copies of one text count once. Disclosing terms near the
-entity's mentions are spans of kind ``term``; sanitising replaces every span by
-its kind.
+least ``DISCLOSURE`` x IC and at least ``LEAST_TEXTS`` different texts hold
+both, so that copies of one text are no evidence. Disclosing terms in the texts
+that hold the entity are spans of kind ``term``; sanitising replaces every span
+by its kind. Rows are told apart by their texts' MD5.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.common import materialize, table
-from symloom.llm.spans import SPAN, count_of, in_order, joined, matches, overlaps, replaced, span, spans_if
+from symloom.llm.spans import NO_SPANS, clear_of, count_of, in_order, joined, matches, replaced, span, spans_if
 
 #: Base kinds in the order that reports list them, then the method's own.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -32,9 +34,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 DISCLOSURE = 0.9
-LEAST_CONTEXTS = 2
-#: Code points looked at on either side of a mention.
-CONTEXT_CHARS = 80
+LEAST_TEXTS = 2
 _WORD = r"\p{L}{3,}+"
 #: The kinds that stand for base spans, which are no words, and words.
 _MARK_OR_WORD = rf"<(?:EMAIL|IP|CARD|PHONE)>|{_WORD}"
@@ -58,83 +58,86 @@ def _is_phone(s: Column) -> Column:
     return F.length(_digits(s["value"])).between(9, 15)
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, measure: Callable[[Column], Column] = F.length) -> Column:
     """The spans of the four base kinds by kind and start; ``text`` must not be null."""
     digits = text.rlike("[0-9]")
-    email = spans_if(text.contains("@"), matches(text, "email", EMAIL))
-    ip = spans_if(digits & text.contains("."), F.filter(matches(text, "ip", IP), _is_ip))
-    card = spans_if(digits, F.filter(matches(text, "card", CARD), _is_card))
-    phone = spans_if(text.contains("+"), F.filter(matches(text, "phone", PHONE), _is_phone))
+    email = spans_if(text.contains("@"), matches(text, "email", EMAIL, measure))
+    ip = spans_if(digits & text.contains("."), F.filter(matches(text, "ip", IP, measure), _is_ip))
+    card = spans_if(digits, F.filter(matches(text, "card", CARD, measure), _is_card))
+    phone = spans_if(text.contains("+"), F.filter(matches(text, "phone", PHONE, measure), _is_phone))
     return F.concat(email, ip, card, phone)
 
 
-def _around(text: Column, spans: Column) -> Column:
-    """For each mention and each word near it: entity, term, a hash of the context, place of the word.
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    Words that touch a base span are left out.
-    """
 
-    def side(s: Column, start: Column, size: Column) -> Column:
-        part = F.substring(text, start + 1, size)
-        words = F.filter(matches(part, "term", _WORD), lambda w: ~F.exists(spans, lambda b: overlaps(b, span(F.lit(""), w["start"] + start, w["end"] + start, F.lit("")))))
-        return F.transform(words, lambda w: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"), F.xxhash64(F.lit("context"), part).alias("context"), (w["start"] + start).cast("int").alias("start"), (w["end"] + start).cast("int").alias("end")))
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
 
-    def both(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        return F.concat(side(s, first, s["start"] - first), side(s, s["end"], F.lit(CONTEXT_CHARS)))
 
-    return F.flatten(F.transform(spans, both))
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, base, words) of each row; words (term, start, end) are those of texts with base spans, outside them."""
+    rows = docs.select("doc_id", _text().alias("text")).select("doc_id", F.md5("text").alias("key"), "text", base_spans(F.col("text")).alias("base"))
+    rows = rows.withColumn("all", spans_if(F.size("base") > 0, matches(F.col("text"), "term", _WORD))).withColumn("free", clear_of("all", "base"))
+    words = F.transform("free", lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    return rows.select("doc_id", "key", "base", words.alias("words"))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, base, near) of each row; ``row`` is a hash that equal rows share."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, _around(F.col("text"), F.col("base")))
-    return rows.select("doc_id", "row", "base", near.alias("near"))
-
-
-def disclosing_terms(docs: DataFrame, marked: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """(entity, term) pairs above the threshold; counts are over all rows."""
-    near = marked.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.context")
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least_contexts)
-    pairs = materialize(pairs, "pairs")
-    mentions = marked.filter(F.size("base") > 0).select("row", F.explode("base").alias("s"))
-    entities = mentions.select("row", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\P{L}++"))).alias("term"))
+def _by_text(holders: DataFrame) -> DataFrame:
+    """(key, n, entities, words) of each different text among (key, entities, words), n being its number of rows."""
+    return holders.groupBy("key").agg(F.count("*").alias("n"), F.any_value("entities").alias("entities"), F.any_value("words").alias("words"))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """(entity, term) pairs above the threshold; ``texts`` has (key, n, entities, words) of each text of ``docs`` with entities.
+
+    n(c), n(t) and n(c,t) all count rows of ``docs``. Entities in fewer
+    different texts than needed can have no such pair and are left out before
+    the words are looked at.
+    """
+    total = F.lit(float(docs.count()))
+    held = texts.select("key", "n", F.explode("entities").alias("entity"))
+    entities = materialize(held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter((F.col("texts") >= least_texts) & (F.col("n_entity") < total)).select("entity", "n_entity"), "entities")
+    kept = held.join(entities.select("entity"), "entity", "left_semi").join(texts.select("key", "words"), "key")
+    both = kept.select("entity", "n", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    pairs = materialize(both.filter(F.col("texts") >= least_texts).select("entity", "term", "n_both"), "pairs")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(_text()), r"\P{L}++"))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(marked.count()))  # of a stored table: its footers are read
     content = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    counted = pairs.join(entities, "entity").join(terms, "term")
-    return counted.filter((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
+    return pairs.join(entities, "entity").join(terms, "term").filter(pmi >= disclosure * content).select("entity", "term")
 
 
-def _term_spans(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, terms) of the rows near whose mentions a disclosing term stands."""
-    near = marked.filter(F.size("near") > 0).dropDuplicates(["row"]).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    return near.join(pairs, ["entity", "term"]).select("row", span(F.lit("term"), F.col("start"), F.col("end"), F.col("term")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("terms"))
+def _told(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, told): the disclosing terms of the entities that a text holds, where there are any."""
+    held = texts.select("key", F.explode("entities").alias("entity"))
+    return held.join(pairs, "entity").groupBy("key").agg(F.collect_set("term").alias("told"))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(doc_id, base, terms) per row of ``docs`` (doc_id, text): arrays of spans.
 
     A null text counts as empty and has no spans. Repeated rows stay repeated;
-    empty tables give empty results. Other columns are ignored.
+    empty tables give empty results. Other columns are ignored. Very long texts
+    are read whole, in time proportional to their length.
     """
     marked = materialize(_marked(docs), "marked")
-    terms = _term_spans(marked, disclosing_terms(docs, marked, disclosure, least_contexts))
-    return marked.join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", F.expr(f"cast(array() as array<{SPAN}>)")).alias("terms"))
+    holders = marked.filter(F.size("base") > 0)
+    texts = materialize(_by_text(holders.select("key", _entities(F.col("base")).alias("entities"), F.array_distinct(F.transform("words", lambda w: w["term"])).alias("words"))), "texts")
+    told = _told(texts, disclosing_terms(docs, texts, disclosure, least_texts))
+    terms = F.transform(F.filter("words", lambda w: F.array_contains("told", w["term"])), lambda w: span(F.lit("term"), w["start"], w["end"], w["term"]))
+    none = F.expr(NO_SPANS).alias("terms")
+    found = holders.join(told, "key", "left").select("doc_id", "base", F.when(F.col("told").isNotNull(), terms).otherwise(F.expr(NO_SPANS)).alias("terms"))
+    return marked.filter(F.size("base") == 0).select("doc_id", "base", none).unionByName(found)
 
 
 def _holders(docs: DataFrame) -> DataFrame:
-    """(row, key, entities, words) of each row that holds an entity, with the words of three letters or more outside its base spans; ``key`` is a hash of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.xxhash64(text).alias("key"), text.alias("text")).withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
-    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    """(key, entities, words) of each row that holds an entity, with the words of three letters or more outside its base spans."""
+    rows = docs.select(F.md5(_text()).alias("key"), _text().alias("text")).withColumn("base", base_spans(F.col("text"), F.octet_length)).filter(F.size("base") > 0)
     found = F.regexp_extract_all(replaced(F.col("text"), F.col("base")), F.lit(_MARK_OR_WORD), F.lit(0))
     words = F.array_distinct(F.transform(F.filter(found, lambda w: ~w.startswith("<")), F.lower))
-    return rows.select("row", "key", entities.alias("entities"), words.alias("words"))
+    return rows.select("key", _entities(F.col("base")).alias("entities"), words.alias("words"))
 
 
 def _without(text: Column, terms: Column) -> Column:
@@ -145,28 +148,7 @@ def _without(text: Column, terms: Column) -> Column:
     return F.array_join(hidden, "")
 
 
-def disclosing_in_texts(docs: DataFrame, holders: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_CONTEXTS) -> DataFrame:
-    """(entity, term) pairs above the threshold, both anywhere in a text.
-
-    n(c), n(t) and n(c,t) all count rows; ``least_texts`` different texts must
-    hold both. Entities in fewer texts than that can have no such pair and are
-    left out before the words are looked at.
-    """
-    total = F.lit(float(docs.count()))
-    held = holders.select("key", F.explode("entities").alias("entity"))
-    per_text = held.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity")
-    entities = materialize(per_text.agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts).filter(F.col("n_entity") < total).select("entity", "n_entity"), "entities")
-    kept = holders.select("row", "key", "words", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity", "left_semi")
-    per_text = kept.select("entity", "key", F.explode("words").alias("term")).groupBy("entity", "term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term")
-    pairs = materialize(per_text.agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\P{L}++"))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    content = F.log2(total / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(entities, "entity").join(terms, "term").filter(pmi >= disclosure * content).select("entity", "term")
-
-
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_CONTEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, as <EMAIL> or <TERM>.
 
     A term that discloses an entity is replaced throughout the texts that hold
@@ -174,16 +156,13 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, least_texts: int =
     through unchanged and unshuffled. All columns stay; ``n_chars``, where there
     is such a column, follows the new text.
     """
-    holders = materialize(_holders(docs), "holders")
-    pairs = disclosing_in_texts(docs, holders, disclosure, least_texts)
-    told = holders.select("row", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("row").agg(F.collect_set("term").alias("__symloom_terms"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__symloom_base", base_spans(text))
+    texts = materialize(_by_text(_holders(docs)), "texts")
+    told = _told(texts, disclosing_terms(docs, texts, disclosure, least_texts)).select(F.col("key").alias("__symloom_key"), F.col("told").alias("__symloom_told"))
+    rows = docs.withColumn("__symloom_base", base_spans(_text(), F.octet_length))
     clean = rows.filter(F.size("__symloom_base") == 0).select(docs.columns)
-    found = rows.filter(F.size("__symloom_base") > 0).withColumn("__symloom_row", F.xxhash64("doc_id", text))
-    found = found.join(told.withColumnRenamed("row", "__symloom_row"), "__symloom_row", "left")
+    found = rows.filter(F.size("__symloom_base") > 0).withColumn("__symloom_key", F.md5(_text())).join(told, "__symloom_key", "left")
     plain = replaced(F.col("text"), F.col("__symloom_base"))
-    found = found.withColumn("text", F.when(F.col("__symloom_terms").isNull(), plain).otherwise(_without(plain, F.col("__symloom_terms"))))
+    found = found.withColumn("text", F.when(F.col("__symloom_told").isNull(), plain).otherwise(_without(plain, F.col("__symloom_told"))))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(found.select(docs.columns))

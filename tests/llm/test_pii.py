@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from symloom.llm.pii import KINDS, find_personal_data, sanitise
 
@@ -79,6 +80,30 @@ def test_overlapping_spans_become_one(spark):
     assert sanitise(docs).first().text == "<PHONE> <EMAIL>"
 
 
+def test_terms_far_from_the_entity(spark):
+    far = " ".join(["again"] * 100)
+    rows = [(1, f"Dear Zebulon {far} z@corp.example"), (2, f"z@corp.example {far} from Zebulon to Zebulon"), (2, f"z@corp.example {far} from Zebulon to Zebulon")] + [(i, "again dear from to") for i in range(3, 40)]
+    got = [(r.doc_id, plain(r.terms)) for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    places = {1: [("term", 5, 12)], 2: [("term", m.start(), m.end()) for m in re.finditer("Zebulon", rows[1][1])]}
+    assert sorted((d, t) for d, t in got if t) == [(1, places[1]), (2, places[2]), (2, places[2])]
+
+
+def test_copies_do_not_weaken_evidence(spark):
+    rows = [(i, f"{'Write' if i % 2 else 'Send'} to Zebulon at z@corp.example") for i in range(60)] + [(100 + i, "to write at send") for i in range(200)]
+    got = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([x.value for x in r.terms] == (["zebulon"] if r.doc_id < 60 else []) for r in got)
+
+
+def test_very_long_texts_take_linear_time(spark):
+    numbers = " ".join(str(10**15 + 7919 * i) if i % 2 else f"word{'abcdefgh'[i % 8]}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, numbers), (2, "é" + numbers[:2000] + " x@y.zz")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: plain(r.base) for r in find_personal_data(docs).collect()}
+    assert got[1] == brute_force(numbers) and got[2] == brute_force("é" + numbers[:2000] + " x@y.zz")
+    assert len(got[1]) > 5000 and sum(r.text.count("<CARD>") for r in sanitise(docs).collect()) > 5000
+    assert time.time() - began < 120
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_personal_data(docs).collect() == [] == sanitise(docs).collect()

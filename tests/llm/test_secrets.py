@@ -1,12 +1,16 @@
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from symloom.llm.secrets import KINDS, find_secrets, op10_secrets, window_entropy
+from symloom.llm.spans import SPAN, clear_of, running_sums
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,5 +67,34 @@ def test_window_entropy(spark, window):
         assert abs(r.h - max(entropy(r.run[i : i + window]) for i in range(len(r.run) - window + 1))) < 1e-9
 
 
+def test_very_long_runs_take_linear_time(spark):
+    r = random.Random(5)
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    path = "a/" * 300_000 + "9"
+    many = " ".join(f"{i:016x} Q{i:020d}z" for i in range(20_000))
+    docs = spark.createDataFrame([(1, base64), (2, path), (3, many)], "doc_id long, text string")
+    began = time.time()
+    got = {x.doc_id: (len(x.base), [(s.start, s.end) for s in x.entropy]) for x in find_secrets(docs).collect()}
+    assert got[1][1] == [(0, 1_000_000)] or got[1][0] > 0
+    assert got[2] == (0, []) and got[3][0] >= 20_000
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("size", [3, 500])
+def test_spans_clear_of_others(spark, size):
+    r = random.Random(size)
+    own = [(x, x + r.randrange(1, 9)) for x in sorted(r.sample(range(0, 9000, 9), size))]
+    other = [(x, x + r.randrange(1, 40)) for x in (r.randrange(9000) for _ in range(size))]
+    row = spark.createDataFrame([([("a", s, e, "") for s, e in own], [("b", s, e, "") for s, e in other])], f"own array<{SPAN}>, other array<{SPAN}>")
+    got = row.select(clear_of("own", "other").alias("x")).first().x
+    assert [(x.start, x.end) for x in got] == [(s, e) for s, e in own if not any(a < e and s < b for a, b in other)]
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 4096, 5000, 70_000)]
+    for r in spark.createDataFrame(rows, "xs array<bigint>").select("xs", running_sums(F.col("xs")).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.xs))
+
+
 def test_empty_table(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
