@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_f
 SAMPLE_PER_CLASS = 4000
 SAMPLE_CHARS = 64_000_000
 NEIGHBOURS = 20
-BLOCK = 64
+BLOCK = 128
 #: Blocks scored before the bounds are looked at again, doubled each time.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 32
 #: Terms, those of most examples first, whose weights stand in a dense matrix, and queries multiplied by it at once.
 DENSE_TERMS = 512
 AT_ONCE = 64
@@ -95,7 +96,7 @@ class BlockMaxIndex:
         self.matrix[self.row[term[of_all]], place[of_all]] = weight[of_all]
         term, place, weight = term[~of_all], place[~of_all], weight[~of_all]
         by = np.argsort(term, kind="stable")  # places ascend within a term
-        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        term, self.place, self.weight = term[by], place[by], weight[by]
         block = self.place // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         #: One entry for each term and block it has postings in: block, bound, first posting, number of postings.
@@ -160,8 +161,9 @@ class ToxicityModel:
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a bag of words; words that no example holds have no coordinate."""
-        known = [w for w in bag if w in self.vocabulary]
-        return self.unit(np.array([self.vocabulary[w] for w in known], np.int64), np.array([bag[w] for w in known], float))
+        terms = np.fromiter(map(self.vocabulary.get, bag, repeat(-1)), np.int64, len(bag))
+        known = terms >= 0
+        return self.unit(terms[known], np.fromiter(bag.values(), float, len(bag))[known])
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.weight[terms]
