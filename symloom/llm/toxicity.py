@@ -85,7 +85,7 @@ class BlockMaxIndex:
         self.blocks = max(1, -(-len(order) // BLOCK))
         sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
         place = np.repeat(np.arange(len(order)), sizes)
-        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        term = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in order)])
         weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
         usual = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:dense]
         #: Row of each term in the dense matrix, or -1.
@@ -209,6 +209,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
         yield pa.RecordBatch.from_arrays([pa.array([-1, *map(sent.value.__getitem__, df)], pa.int32()), pa.array([rows, *df.values()], pa.int64())], ["term", "n"])
 
     counted = map_batches(docs.select(F.col("text").cast("string")), count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
     df = np.zeros(len(vocabulary))
     df[term[term >= 0]] = n[term >= 0]
@@ -234,15 +235,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     """
     sample, totals = labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS)
     sample = materialize(sample, "examples")
-    bags = map_batches(sample.select("doc_id", "text", "label"), _bags, "doc_id long, label int, terms array<string>, counts array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    bags = map_batches(sample.select("doc_id", "text", "label"), _bags, "doc_id long, label int, terms array<string>, counts array<int>").orderBy("doc_id").toArrow()
     classes = np.array(bags.column("label").to_pylist(), np.int64)
+    doc_ids = np.array(bags.column("doc_id").to_pylist(), np.int64)
     lists = bags.column("terms").combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.string()))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = bags.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False) if bags.num_rows else np.zeros(0, np.int32)
     encoded = pc.dictionary_encode(lists.flatten())
-    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
     vocabulary = {w: i for i, w in enumerate(encoded.dictionary.to_pylist())}
-    term = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = bags.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float) if bags.num_rows else np.zeros(0)
+    term = encoded.indices.to_numpy(zero_copy_only=False)
+    del bags, lists, encoded  # the driver keeps numbers only
     of_1 = np.repeat(classes, sizes) == 1
     n, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -253,8 +255,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     full = np.flatnonzero(sizes > 0)
     empty = classes[sizes == 0]
     blank = ((empty == 1).sum() * vote[1] + 0.5) / ((empty == 1).sum() * vote[1] + (empty == 0).sum() * vote[0] + 2)
-    ids = np.array(bags.column("doc_id").to_pylist(), np.int64)[full].tolist()
-    model = ToxicityModel(vocabulary, idf * relevance(in_0, in_1, *sampled), None, ids, classes[full], vote, float(blank))
+    model = ToxicityModel(vocabulary, idf * relevance(in_0, in_1, *sampled), None, doc_ids[full].tolist(), classes[full], vote, float(blank))
     vectors, alike, in_any = [], [], in_0 + in_1
     for i in full.tolist():
         own = slice(starts[i], starts[i] + sizes[i])
@@ -280,7 +281,7 @@ def _calibrated(sample: DataFrame, model: ToxicityModel) -> np.ndarray:
 
     spread = sample.select("doc_id", "text", "label").repartition(4 * sample.sparkSession.sparkContext.defaultParallelism, "doc_id")
     rows = map_batches(spread, left_out, "doc_id long, label int, share double, nearest double, near boolean").filter("near").orderBy("doc_id").collect()
-    sent.unpersist()
+    sent.destroy()
     if not rows:
         return np.zeros(3)
     y = np.array([r.label for r in rows])
