@@ -6,8 +6,10 @@ sentences that only sound alike, which make up the unknown class. Its
 probabilities are calibrated by a temperature fitted on variants it has not
 seen. Scoring explodes a paragraph's n-grams, joins them with the table of
 weights (a bounded vocabulary, so it is broadcast) and sums them up. A family
-counts if it is likelier than unknown by the threshold and one of its notices
-shares most of its words with the paragraph.
+counts if it is the likeliest, by the threshold, and one of its notices shares
+most of its words with the paragraph. As both must hold, the cheaper condition
+is looked at first: paragraphs that share enough words with no notice of any
+family can show none, whatever the classifier says of them.
 """
 
 from __future__ import annotations
@@ -31,9 +33,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.6
 MAX_NGRAMS = 4096
 #: What parts blocks of lines: lines without a letter or digit, as in empty comment lines.
-_BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
-#: Paragraphs without any of these stand for the unknown class at once.
-ANCHOR = "(?i)licen[cs]|copyright|copyleft|spdx|warrant|redistribut|public domain|creative commons|cc by|cc-by|cc0|gpl|mozilla public|permission is hereby|all rights reserved"
+_BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 #: Notices by family.
 NOTICES = {
@@ -201,34 +201,47 @@ def _word_column(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SEPARATOR), lambda w: w != "")
 
 
+def _notice_words() -> list[str]:
+    return sorted({w for notices in NOTICES.values() for n in notices for w in _words(n)})
+
+
+def _shares_enough(words: Column, notices: list[str]) -> Column:
+    """Whether one of the notices has at least ``OVERLAP`` of its words among distinct ``words``."""
+    out = F.lit(False)
+    for notice in notices:
+        own = sorted(set(_words(notice)))
+        out |= F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) >= OVERLAP * len(own)
+    return out
+
+
 def _confirmed(words: Column, family: Column) -> Column:
     """Whether one of the family's notices shares enough of its words with a paragraph."""
     out = F.lit(False)
     for name, notices in NOTICES.items():
-        fits = F.lit(False)
-        for notice in notices:
-            own = sorted(set(_words(notice)))
-            fits |= F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) >= OVERLAP * len(own)
-        out |= (family == name) & fits
+        out |= (family == name) & _shares_enough(words, notices)
     return out
 
 
 def classify_paragraphs(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """(row, paragraph, line, family, probability) of each licence notice in ``docs`` (doc_id, text).
 
-    ``row`` is a hash of doc_id and text that equal rows share; paragraphs are
-    the blocks between blank lines. Each line of a block is classified, and
-    where it has several also the block with its lines joined (line -1), which
-    finds wrapped notices; it counts for a family none of its lines shows.
+    ``row`` is the text's MD5, which equal texts share; paragraphs are the
+    blocks between blank lines. Each line of a block is classified, and where it
+    has several also the block with its lines joined (line -1), which finds
+    wrapped notices; it counts for a family none of its lines shows. Of equally
+    likely families the one listed first counts.
     """
     model = model or fit_licences()
     spark, names = docs.sparkSession, [f"z{i}" for i in range(len(model.families))]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    distinct = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text")).filter(F.col("text").rlike(ANCHOR.replace(" ", r"\W+"))).dropDuplicates(["row"])
     lines = F.split("body", "\n")
-    units = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("body", r"\n\W*", " ").alias("text")))).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)")))
-    blocks = distinct.select("row", F.posexplode(F.split("text", _BLANK)).alias("paragraph", "body")).select("row", "paragraph", F.explode(units).alias("u"))
-    words = materialize(blocks.filter(F.col("u.text").rlike(ANCHOR)).select("row", "paragraph", "u.line", _word_column(F.col("u.text")).alias("words")), "paragraphs")
+    units = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.regexp_replace("body", r"\n\W*+", " ").alias("text")))).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)")))
+    blocks = docs.select(F.md5(text).alias("row"), F.posexplode(F.split(text, _BLANK)).alias("paragraph", "body")).select("row", "paragraph", F.explode(units).alias("u"))
+    split = blocks.select("row", "paragraph", "u.line", _word_column(F.col("u.text")).alias("words"))
+    every = [n for notices in NOTICES.values() for n in notices]
+    fewest = math.ceil(OVERLAP * min(len(set(_words(n))) for n in every))
+    common = split.withColumn("common", F.array_intersect("words", F.array(*map(F.lit, _notice_words())))).filter(F.size("common") >= fewest)
+    words = materialize(common.filter(_shares_enough(F.col("common"), every)).dropDuplicates(["row", "paragraph", "line"]), "paragraphs")
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     grams = words.select("row", "paragraph", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     entries = json.dumps([{"gram": g, **dict(zip(names, w, strict=True))} for g, w in model.weights.items()])
@@ -245,7 +258,7 @@ def classify_paragraphs(docs: DataFrame, model: LicenceModel | None = None) -> D
         (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - highest)), F.lit(0.0), lambda a, x: a + x)).alias("probability"),
     )
     likely = scored.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= THRESHOLD))
-    found = likely.join(words, ["row", "paragraph", "line"]).filter(_confirmed(F.col("words"), F.col("family")))
+    found = likely.join(words, ["row", "paragraph", "line"]).filter(_confirmed(F.col("common"), F.col("family")))
     last = F.max("line").over(Window.partitionBy("row", "paragraph", "family"))
     return found.withColumn("last", last).filter("line >= 0 or last < 0").select("row", "paragraph", "line", "family", "probability")
 
@@ -255,10 +268,10 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
 
     families are sorted and comma-joined, '' where there is no notice. A null
     text counts as empty. Repeated rows stay repeated; an empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. Very long texts are read whole.
     """
     found = classify_paragraphs(docs, model).groupBy("row").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("best_probability"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
     return rows.join(found, "row", "left").select("doc_id", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("best_probability", F.lit(0.0)).alias("best_probability"))
 
 

@@ -227,3 +227,32 @@ def test_wrapped_licence_notices(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = sorted((x.doc_id, x.n_notices, x.families) for x in scan_licences(docs).collect())
     assert got == [(1, 1, "gpl"), (2, 2, "gpl,mit"), (3, 0, "")]
+
+
+def test_every_paragraph_goes_by_classifier_and_notices(spark):
+    """Without any order of the two conditions: the model's likeliest family of every line and block, confirmed word by word."""
+    from symloom.llm.licenses import NOTICES, OVERLAP, THRESHOLD, UNKNOWN, _words, training_set
+
+    r = random.Random(9)
+    variants = [" ".join(words) for words in training_set(3)[0]]
+    r.shuffle(variants)
+    texts = ["\n\n".join("\n".join(variants[k : k + r.randrange(1, 4)]) for k in range(i, i + 12, 4)) for i in range(0, 240, 12)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (99, "\n \n" * 20_000)], "doc_id long, text string")
+    model = fit_licences()
+
+    def shown(unit):
+        p = model.probabilities(unit)
+        best = max(p, key=p.get)
+        own = set(_words(unit))
+        fits = any(len(own & set(_words(n))) >= OVERLAP * len(set(_words(n))) for n in NOTICES.get(best, []))
+        return best if best != UNKNOWN and p[best] >= THRESHOLD and fits else None
+
+    want = {99: 0}
+    for d, text in enumerate(texts):
+        want[d] = 0
+        for block in text.split("\n\n"):
+            found = [f for line in block.split("\n") if (f := shown(line))]
+            whole = shown(block.replace("\n", " ")) if "\n" in block else None
+            want[d] += len(found) + (whole is not None and whole not in found)
+    got = [(x.doc_id, x.n_notices) for x in scan_licences(docs).collect()]
+    assert sorted(got) == sorted([*want.items(), (3, want[3])]) and sum(want.values()) > 20
