@@ -142,16 +142,21 @@ def _usual_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray
     return np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
 
 
-def shingle_links(docs: DataFrame) -> DataFrame:
-    """Edges (a, b) between the fingerprints of all texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a hash of the text as doc_id, so that copies are one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+
 
-    Exact by prefixes: in one order of all shingles, two such sets share one of
-    the first n - ceil(0.8 n) + 1 of each. The order puts shingles that a sample
-    repeats last, which keeps buckets small; any order gives the same edges.
-    Candidates of differing fingerprints are verified over their whole sets.
+def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, fp, size) of each text, and (shingle, key, low, high): the texts in each bucket of two or more, with its first and last.
+
+    Texts of a Jaccard similarity of 0.8 or more share a bucket: in one order of
+    all shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of
+    each. The order puts shingles that a sample repeats last, which keeps
+    buckets small; any order gives the same links.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))  # a text's hash is its key, so that copies are one
+    texts = _keyed(docs)
     sent = docs.sparkSession.sparkContext.broadcast(_usual_shingles(texts, docs.count()))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +172,57 @@ def shingle_links(docs: DataFrame) -> DataFrame:
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["key", "fp", "size", "first"])
 
-    heads = map_batches(texts, prefixes, "key long, fp long, size int, first array<bigint>")
-    buckets = heads.select(F.explode("first").alias("shingle"), F.struct("key", "fp", "size").alias("x")).groupBy("shingle").agg(F.collect_set("x").alias("xs")).filter(F.size("xs") > 1)
-    pairs = buckets.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b")).filter("a.key < b.key and a.fp <> b.fp and 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)")
-    pairs = materialize(pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "candidates")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<bigint>").dropDuplicates(["key"]), "heads")
+    rows = heads.select(F.explode("first").alias("shingle"), "key").repartition("shingle")
+    buckets = rows.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+    return heads.select("key", "fp", "size"), materialize(rows.join(buckets.hint("merge"), "shingle"), "shingle-members")
+
+
+def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of keys whose sizes allow a link that their fingerprints don't show already."""
+    ordered = pairs.filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b")]
+    known = ordered.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+    return materialize(known.select("key_a", "key_b", "a", "b"), "candidates")
+
+
+def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Each bucket's texts with its first and its last, which link groups of near copies without their pairs."""
+    return _candidates(texts, members.select(F.col("key").alias("x"), F.explode(F.array("low", "high")).alias("y")))
+
+
+def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs of a bucket whose fingerprints are in different components so far."""
+    roots = texts.join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(members.select("shingle", "key").join(roots, "key"), "placed")
+    mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
+    other = open_.select("shingle", F.col("key").alias("y"), F.col("root").alias("other"))
+    return _candidates(texts, open_.withColumnRenamed("key", "x").join(other.hint("merge"), "shingle").filter("root <> other and x < y").select("x", "y"))
+
+
+def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) between the fingerprints of the candidate texts whose whole shingle sets have a similarity of 0.8 or more."""
     keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
     marks = materialize(_marks(keys), "candidate-marks")
-    marked = texts.withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left").filter(_is_marked()).select("doc_id", "text")
+    marked = _keyed(docs).withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left").filter(_is_marked()).select("doc_id", "text")
     sets = materialize(map_batches(marked.dropDuplicates(["doc_id"]), _sets, "doc_id long, shingles array<bigint>"), "shingles")
     both = pairs.join(sets.select(F.col("doc_id").alias("key_a"), F.col("shingles").alias("of_a")).hint("merge"), "key_a").join(sets.select(F.col("doc_id").alias("key_b"), F.col("shingles").alias("of_b")).hint("merge"), "key_b")
-    alike = both.filter(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b")))  # Jaccard >= 0.8
-    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = both.filter(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b")))  # Jaccard >= 0.8
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_shingles(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components of ``edges`` and of all pairs of texts with a similarity of 0.8 or more, exactly.
+
+    Every such pair shares a bucket. The buckets' stars link most groups; only
+    pairs that are still in different components are looked at one by one.
+    """
+    texts, members = shingle_members(docs)
+    edges = materialize(edges.unionByName(alike(docs, shingle_stars(texts, members))).distinct(), "star-edges")
+    groups = materialize(connected_components(edges), "star-groups")
+    more = materialize(alike(docs, shingle_rest(texts, members, groups)), "rest-edges")
+    return groups if more.isEmpty() else connected_components(edges.unionByName(more).distinct())
 
 
 def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: bool = False) -> DataFrame:
@@ -194,9 +239,7 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: boo
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
     edges = links(prints, pair_limit)
-    if shingles:
-        edges = edges.unionByName(materialize(shingle_links(docs), "alike")).distinct()
-    groups = materialize(connected_components(edges), "groups")
+    groups = materialize(_with_shingles(docs, edges) if shingles else connected_components(edges), "groups")
     root = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = root.join(smallest, "root").select("fp", "component_id")
