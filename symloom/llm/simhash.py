@@ -38,7 +38,7 @@ MARK_BITS = 1 << 27
 #: Words of a shingle of ``shingle_links``.
 SHINGLE_WORDS = 5
 #: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.
-ORDER_SAMPLE = 20_000
+ORDER_SAMPLE = 5_000
 ORDER_ENTRIES = 65_536
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
@@ -151,6 +151,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, fp, size) of each text, and (shingle, key, low, high): the texts in each bucket of two or more, with its first and last.
 
+    A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
+
     Texts of a Jaccard similarity of 0.8 or more share a bucket: in one order of
     all shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of
     each. The order puts shingles that a sample repeats last, which keeps
@@ -161,8 +163,11 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual, often = sent.value
+        seen: set[int] = set()  # a task's copies of a text count once
         for batch, values in texts_of(batches, 1):
-            first, sizes = [], []
+            keys = batch.column(0).to_pylist()
+            fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            values, first, sizes = [values[i] for i in fresh], [], []
             for value in values:
                 own = _shingle_hashes(value)
                 at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
@@ -170,12 +175,12 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
                 sizes.append(len(own))
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["key", "fp", "size", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32()))], ["key", "fp", "size", "first"])
 
-    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<bigint>").dropDuplicates(["key"]), "heads")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>"), "heads")
     rows = heads.select(F.explode("first").alias("shingle"), "key").repartition("shingle")
     buckets = rows.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    return heads.select("key", "fp", "size"), materialize(rows.join(buckets.hint("merge"), "shingle"), "shingle-members")
+    return heads.select("key", "fp", "size").distinct(), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
 def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
