@@ -40,6 +40,8 @@ SHINGLE_WORDS = 5
 #: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.
 ORDER_SAMPLE = 5_000
 ORDER_ENTRIES = 65_536
+#: Bits of the bitmap of a text's shingles that bounds how many two texts share.
+SKETCH_BITS = 2048
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
 
@@ -149,7 +151,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, size) of each text, and (shingle, key, low, high): the texts in each bucket of two or more, with its first and last.
+    """(key, fp, size, sketch) of each text, and (shingle, key, low, high): the texts in each bucket of two or more, with its first and last.
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
@@ -167,28 +169,36 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch, values in texts_of(batches, 1):
             keys = batch.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-            values, first, sizes = [values[i] for i in fresh], [], []
+            values, first, sizes, sketch = [values[i] for i in fresh], [], [], []
             for value in values:
                 own = _shingle_hashes(value)
                 at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
                 rank = np.where(usual[at] == own, often[at], 0) if len(usual) else np.zeros(len(own), np.int64)
                 first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
                 sizes.append(len(own))
+                sketch.append(np.packbits(np.bincount(own % SKETCH_BITS, minlength=SKETCH_BITS) > 0).view(np.int64))
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32()))], ["key", "fp", "size", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "sketch"])
 
-    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>"), "heads")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, sketch array<bigint>"), "heads")
     rows = heads.select(F.explode("first").alias("shingle"), "key").repartition("shingle")
     buckets = rows.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    return heads.select("key", "fp", "size").distinct(), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+    return heads.select("key", "fp", "size", "sketch").dropDuplicates(["key"]), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+
+
+def _lacks(x: str, y: str) -> Column:
+    """How many shingles of x are not in y, at least: the bits of x's sketch that y's lacks."""
+    missing = F.zip_with(f"sketch_{x}", f"sketch_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(missing, F.lit(0), lambda total, n: total + n)
 
 
 def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of keys whose sizes allow a link that their fingerprints don't show already."""
+    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of keys whose sizes and sketches allow a link that their fingerprints don't show already."""
     ordered = pairs.filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
-    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b")]
+    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
     known = ordered.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-    return materialize(known.select("key_a", "key_b", "a", "b"), "candidates")
+    most = F.least(F.col("size_a") - _lacks("a", "b"), F.col("size_b") - _lacks("b", "a"))
+    return materialize(known.filter(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("key_a", "key_b", "a", "b"), "candidates")
 
 
 def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -198,7 +208,7 @@ def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs of a bucket whose fingerprints are in different components so far."""
-    roots = texts.join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
+    roots = texts.drop("sketch").join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
     placed = materialize(members.select("shingle", "key").join(roots, "key"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
