@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import map_batches, materialize, spread, table, texts_of, with_columns
+from symloom.llm.common import forget_shuffles, map_batches, materialize, spread, table, texts_of, with_columns
 from symloom.llm.components import connected_components
 
 RADIUS = 4
@@ -234,8 +234,13 @@ def _with_shingles(docs: DataFrame, edges: DataFrame) -> DataFrame:
     pairs that are still in different components are looked at one by one.
     """
     texts, members = shingle_members(docs)
-    edges = materialize(edges.unionByName(alike(docs, shingle_stars(texts, members))).distinct(), "star-edges")
+    forget_shuffles(docs.sparkSession)
+    pairs = shingle_stars(texts, members)
+    forget_shuffles(docs.sparkSession)
+    edges = materialize(edges.unionByName(alike(docs, pairs)).distinct(), "star-edges")
+    forget_shuffles(docs.sparkSession)
     groups = materialize(connected_components(edges), "star-groups")
+    forget_shuffles(docs.sparkSession)
     more = materialize(alike(docs, shingle_rest(texts, members, groups)), "rest-edges")
     return groups if more.isEmpty() else connected_components(edges.unionByName(more).distinct())
 
@@ -254,6 +259,8 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: boo
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
     edges = links(prints, pair_limit)
+    if shingles:
+        edges = materialize(edges, "print-edges")
     groups = materialize(_with_shingles(docs, edges) if shingles else connected_components(edges), "groups")
     root = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
