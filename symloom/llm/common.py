@@ -87,11 +87,6 @@ def drop_table(spark: SparkSession, path: str) -> None:
             scope.remove(path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Have the driver's JVM drop what no frame refers to, upon which Spark deletes the shuffle files of finished jobs."""
-    spark._jvm.System.gc()
-
-
 def tasks_for(rows: int, rows_per_task: int) -> int:
     """How many tasks ``rows`` need if each is to hold about ``rows_per_task``."""
     return max(1, math.ceil(rows / rows_per_task))
