@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import map_batches, materialize, spread, table, texts_of, with_columns
+from symloom.llm.common import map_batches, materialize, slices, spread, table, texts_of, with_columns
 from symloom.llm.components import connected_components
 
 RADIUS = 4
@@ -40,8 +40,8 @@ SHINGLE_WORDS = 5
 #: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.
 ORDER_SAMPLE = 5_000
 ORDER_ENTRIES = 65_536
-#: Bits of the bitmap of a text's shingles that bounds how many two texts share.
-SKETCH_BITS = 2048
+#: Bits per shingle, at least, of the bitmap of a text's shingles that bounds how many two texts share.
+SKETCH_BITS = 4
 _SHINGLES_AT_ONCE = 1 << 16
 _HALF = 0xFFFFFFFF
 
@@ -144,6 +144,14 @@ def _usual_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray
     return np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set's hashes: a power of two of bits, 64 and ``SKETCH_BITS`` for each hash at least."""
+    width = max(64, 1 << (SKETCH_BITS * len(hashes) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[hashes & (width - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a hash of the text as doc_id, so that copies are one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -151,7 +159,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, size, sketch) of each text, and (shingle, key, low, high): the texts in each bucket of two or more, with its first and last.
+    """(key, fp, sketch) of each text, and (shingle, key, size, low, high): the texts in each bucket of two or more, with its first and last (key, size).
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
@@ -176,54 +184,84 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rank = np.where(usual[at] == own, often[at], 0) if len(usual) else np.zeros(len(own), np.int64)
                 first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
                 sizes.append(len(own))
-                sketch.append(np.packbits(np.bincount(own % SKETCH_BITS, minlength=SKETCH_BITS) > 0).view(np.int64))
+                sketch.append(_sketch(own))
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "sketch"])
 
     heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, sketch array<bigint>"), "heads")
-    rows = heads.select(F.explode("first").alias("shingle"), "key").repartition("shingle")
-    buckets = rows.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    return heads.select("key", "fp", "size", "sketch").dropDuplicates(["key"]), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+    rows = heads.select(F.explode("first").alias("shingle"), "key", "size").repartition("shingle")
+    own = F.struct("key", "size")
+    buckets = rows.groupBy("shingle").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high")
+    return materialize(heads.select("key", "fp", "sketch").dropDuplicates(["key"]), "sketches"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
 def _lacks(x: str, y: str) -> Column:
     """How many shingles of x are not in y, at least: the bits of x's sketch that y's lacks."""
-    missing = F.zip_with(f"sketch_{x}", f"sketch_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
     return F.aggregate(missing, F.lit(0), lambda total, n: total + n)
 
 
+def _folded(x: str, y: str) -> Column:
+    """The sketch in column x, its halves laid over each other if it is twice as wide as y's."""
+    half = F.size(y)
+    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+
+
 def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of keys whose sizes and sketches allow a link that their fingerprints don't show already."""
-    ordered = pairs.filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
-    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
-    known = ordered.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-    most = F.least(F.col("size_a") - _lacks("a", "b"), F.col("size_b") - _lacks("b", "a"))
+    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of (key, size) whose sizes and sketches allow a link that their fingerprints don't show already.
+
+    Sizes are compared before anything is shuffled. They differ by a quarter at
+    most then, and the sketches by one doubling.
+    """
+    sized = pairs.filter("x.key <> y.key and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    ordered = sized.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    ordered = ordered.select(F.col("x.key").alias("key_a"), F.col("x.size").alias("size_a"), F.col("y.key").alias("key_b"), F.col("y.size").alias("size_b"))
+    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
+    known = ordered.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
+    most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
     return materialize(known.filter(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("key_a", "key_b", "a", "b"), "candidates")
 
 
 def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Each bucket's texts with its first and its last, which link groups of near copies without their pairs."""
-    return _candidates(texts, members.select(F.col("key").alias("x"), F.explode(F.array("low", "high")).alias("y")))
+    return _candidates(texts, members.select(F.struct("key", "size").alias("x"), F.explode(F.array("low", "high")).alias("y")))
 
 
 def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs of a bucket whose fingerprints are in different components so far."""
     roots = texts.drop("sketch").join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(members.select("shingle", "key").join(roots, "key"), "placed")
+    placed = materialize(members.select("shingle", "key", "size").join(roots, "key"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
-    other = open_.select("shingle", F.col("key").alias("y"), F.col("root").alias("other"))
-    return _candidates(texts, open_.withColumnRenamed("key", "x").join(other.hint("merge"), "shingle").filter("root <> other and x < y").select("x", "y"))
+    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi").select("shingle", "root", F.struct("key", "size").alias("x")), "open")
+    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
+    return _candidates(texts, open_.join(other.hint("merge"), "shingle").filter("root <> other and x.key < y.key").select("x", "y"))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, text_a, text_b) whose texts' whole shingle sets have a similarity of 0.8 or more, as (a, b)."""
+    last, of_last = None, np.zeros(0, np.int64)
+    for batch in slices(batches):
+        keep = []
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            if (y := y.as_py()) != last:
+                last, of_last = y, _shingle_hashes(y)
+            own = _shingle_hashes(x.as_py())
+            if 9 * len(np.intersect1d(own, of_last, assume_unique=True)) >= 4 * (len(own) + len(of_last)):
+                keep.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) between the fingerprints of the candidate texts whose whole shingle sets have a similarity of 0.8 or more."""
+    """Edges (a, b) between the fingerprints of the candidate texts whose whole shingle sets have a similarity of 0.8 or more.
+
+    Texts are shuffled rather than their shingles' hashes, which don't compress.
+    """
     keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
     marks = materialize(_marks(keys), "candidate-marks")
     marked = _keyed(docs).withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left").filter(_is_marked()).select("doc_id", "text")
-    sets = materialize(map_batches(marked.dropDuplicates(["doc_id"]), _sets, "doc_id long, shingles array<bigint>"), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("key_a"), F.col("shingles").alias("of_a")).hint("merge"), "key_a").join(sets.select(F.col("doc_id").alias("key_b"), F.col("shingles").alias("of_b")).hint("merge"), "key_b")
-    found = both.filter(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b")))  # Jaccard >= 0.8
+    texts = materialize(marked.dropDuplicates(["doc_id"]), "candidate-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("key_a"), F.col("text").alias("text_a")).hint("merge"), "key_a").join(texts.select(F.col("doc_id").alias("key_b"), F.col("text").alias("text_b")).hint("merge"), "key_b")
+    found = map_batches(both.select("a", "b", "text_a", "text_b"), _similar, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
