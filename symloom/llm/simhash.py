@@ -159,14 +159,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, sketch) of each text, and (shingle, key, size, low, high): the texts in each bucket of two or more, with its first and last (key, size).
+    """(key, fp, sketch) of each text, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
     Texts of a Jaccard similarity of 0.8 or more share a bucket: in one order of
     all shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of
     each. The order puts shingles that a sample repeats last, which keeps
-    buckets small; any order gives the same links.
+    buckets small; any order gives the same links. x, low and high are structs of
+    key, size and ``at``, how many of the text's shingles come before the bucket's.
     """
     texts = _keyed(docs)
     sent = docs.sparkSession.sparkContext.broadcast(_usual_shingles(texts, docs.count()))
@@ -189,9 +190,9 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "sketch"])
 
     heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, sketch array<bigint>"), "heads")
-    rows = heads.select(F.explode("first").alias("shingle"), "key", "size").repartition("shingle")
-    own = F.struct("key", "size")
-    buckets = rows.groupBy("shingle").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high")
+    flat = heads.select("key", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")  # structs make wider rows
+    rows = flat.select("shingle", F.struct("key", "size", "at").alias("x"))
+    buckets = rows.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low.key <> high.key")
     return materialize(heads.select("key", "fp", "sketch").dropDuplicates(["key"]), "sketches"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
@@ -208,14 +209,15 @@ def _folded(x: str, y: str) -> Column:
 
 
 def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (key_a, key_b, a, b) of the pairs (x, y) of (key, size) whose sizes and sketches allow a link that their fingerprints don't show already.
+    """Distinct (key_a, key_b, a, b) of the pairs (x, y) whose sizes, places and sketches allow a link that their fingerprints don't show already.
 
-    Sizes are compared before anything is shuffled. They differ by a quarter at
-    most then, and the sketches by one doubling.
+    Sizes and places are compared before anything is shuffled: in the first
+    bucket that two texts share, all that they share is at that place or later.
+    Sizes differ by a quarter at most then, and the sketches by one doubling.
     """
-    sized = pairs.filter("x.key <> y.key and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
-    ordered = sized.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    ordered = ordered.select(F.col("x.key").alias("key_a"), F.col("x.size").alias("size_a"), F.col("y.key").alias("key_b"), F.col("y.size").alias("size_b"))
+    allowed = pairs.filter("x.key <> y.key and 9 * least(x.size - x.at, y.size - y.at) >= 4 * (x.size + y.size)")
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    ordered = allowed.select(*(side[field].alias(f"{field}_{n}") for n, side in (("a", low), ("b", high)) for field in ("key", "size"))).distinct()
     of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
     known = ordered.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
     most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
@@ -224,15 +226,15 @@ def _candidates(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Each bucket's texts with its first and its last, which link groups of near copies without their pairs."""
-    return _candidates(texts, members.select(F.struct("key", "size").alias("x"), F.explode(F.array("low", "high")).alias("y")))
+    return _candidates(texts, members.select("x", F.explode(F.array("low", "high")).alias("y")))
 
 
 def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs of a bucket whose fingerprints are in different components so far."""
     roots = texts.drop("sketch").join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(members.select("shingle", "key", "size").join(roots, "key"), "placed")
+    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi").select("shingle", "root", F.struct("key", "size").alias("x")), "open")
+    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
     other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
     return _candidates(texts, open_.join(other.hint("merge"), "shingle").filter("root <> other and x.key < y.key").select("x", "y"))
 
