@@ -40,6 +40,8 @@ SHINGLE_WORDS = 5
 #: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.
 ORDER_SAMPLE = 5_000
 ORDER_ENTRIES = 65_536
+#: Bits per shingle, at least, of the bitmap of a text's shingles that bounds how many two texts share.
+SKETCH_BITS = 4
 #: A text's buckets that are compared with their first and last text, and how many of them must be shared. Both only save work.
 STAR_BUCKETS, STAR_SHARED = 16, 3
 _SHINGLES_AT_ONCE = 1 << 16
@@ -144,6 +146,14 @@ def _usual_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray
     return np.array([x for x, _ in often], np.int64), np.array([n for _, n in often], np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set's hashes: a power of two of bits, 64 and ``SKETCH_BITS`` for each hash at least."""
+    width = max(64, 1 << (SKETCH_BITS * len(hashes) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[hashes & (width - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a hash of the text as doc_id, so that copies are one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -151,7 +161,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp) of each text, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
+    """(key, fp, sketch) of each text, once for each task that met it, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
@@ -170,21 +180,22 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch, values in texts_of(batches, 1):
             keys = batch.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-            values, first, sizes = [values[i] for i in fresh], [], []
+            values, first, sizes, sketch = [values[i] for i in fresh], [], [], []
             for value in values:
                 own = _shingle_hashes(value)
                 at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
                 rank = np.where(usual[at] == own, often[at], 0) if len(usual) else np.zeros(len(own), np.int64)
                 first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
                 sizes.append(len(own))
+                sketch.append(_sketch(own))
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32()))], ["key", "fp", "size", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "sketch"])
 
-    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>"), "heads")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, sketch array<bigint>"), "heads")
     flat = heads.select("key", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")  # structs make wider rows
     rows = flat.select("shingle", F.struct("key", "size", "at").alias("x"))
     buckets = rows.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low.key <> high.key")
-    return heads.select("key", "fp").dropDuplicates(["key"]), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+    return heads.select("key", "fp", "sketch"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
 def _prefix(n: Column) -> Column:
@@ -192,14 +203,40 @@ def _prefix(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5) + 1
 
 
+def _lacks(x: str, y: str) -> Column:
+    """How many shingles of x are not in y, at least: the bits of x's sketch that y's lacks."""
+    missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(missing, F.lit(0), lambda total, n: total + n)
+
+
+def _folded(x: str, y: str) -> Column:
+    """The sketch in column x, its halves laid over each other if it is twice as wide as y's."""
+    half = F.size(y)
+    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+
+
+def _of_keys(rows: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """The rows whose ``doc_id`` is a key of the pairs, and few others, one for each; other rows are not shuffled."""
+    keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
+    marks = materialize(_marks(keys), f"{label}-marks")
+    known = rows.withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left")
+    return materialize(known.filter(_is_marked()).select(rows.columns).dropDuplicates(["doc_id"]), label)
+
+
 def _candidates(texts: DataFrame, pairs: DataFrame, least: Column) -> DataFrame:
-    """Distinct (key_a, key_b, a, b) of the pairs (x, y), given once a bucket, whose sizes allow a link that their fingerprints don't show already, and that come ``least`` times."""
+    """Distinct (key_a, key_b, a, b) of the pairs (x, y), given once a bucket, that come ``least`` times and whose sizes and sketches allow a link that their fingerprints don't show already.
+
+    Sizes differ by a quarter at most, and so the sketches by one doubling.
+    """
     allowed = pairs.filter("x.key <> y.key and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
     low, high = F.least("x", "y"), F.greatest("x", "y")
     ordered = allowed.select(*(side[field].alias(f"{field}_{n}") for n, side in (("a", low), ("b", high)) for field in ("key", "size")))
-    shared = ordered.groupBy(ordered.columns).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    of = [texts.select(F.col("key").alias(f"key_{n}"), F.col("fp").alias(n)) for n in ("a", "b")]
-    return materialize(shared.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").select("key_a", "key_b", "a", "b"), "candidates")
+    shared = materialize(ordered.groupBy(ordered.columns).agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n"), "sharing")
+    few = _of_keys(texts.withColumnRenamed("key", "doc_id"), shared, "sketches")
+    of = [few.select(F.col("doc_id").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
+    known = shared.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
+    most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
+    return materialize(known.filter(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("key_a", "key_b", "a", "b"), "candidates")
 
 
 def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -216,8 +253,8 @@ def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     more. The first f of the p lack at most p - m of the q, and so the other
     way, so that of the buckets of both at least the lesser f - (p - m) meet.
     """
-    roots = texts.join(groups, texts["fp"] == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
+    roots = texts.select("key", "fp").distinct().join(groups, F.col("fp") == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", F.struct("x.key", "x.size").alias("x"), "root"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
     other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
@@ -245,10 +282,7 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Texts are shuffled rather than their shingles' hashes, which don't compress.
     """
-    keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
-    marks = materialize(_marks(keys), "candidate-marks")
-    marked = _keyed(docs).withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left").filter(_is_marked()).select("doc_id", "text")
-    texts = materialize(marked.dropDuplicates(["doc_id"]), "candidate-texts")
+    texts = _of_keys(_keyed(docs), pairs, "candidate-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("key_a"), F.col("text").alias("text_a")).hint("merge"), "key_a").join(texts.select(F.col("doc_id").alias("key_b"), F.col("text").alias("text_b")).hint("merge"), "key_b")
     found = map_batches(both.select("a", "b", "text_a", "text_b"), _similar, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
