@@ -116,3 +116,27 @@ def test_stage_reaches_five_word_similarity(spark):
     kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(near.values())
     assert len({x.component_id for x in near_duplicates(docs).collect()}) > len(kept), "the fingerprints alone miss some"
+
+
+def test_shingle_links_lose_nothing_at_any_size(spark):
+    r = random.Random(5)
+    texts = ["", "a", "a b", "a b c d e"]
+    for size in (1, 2, 6, 7, 9, 14, 15, 40, 68, 69, 132, 400):
+        base = [f"s{size}w{r.randrange(10**6)}" for _ in range(size + 4)]
+        texts.append(" ".join(base))
+        for share in (0.02, 0.08, 0.11, 0.13, 0.2, 0.25):
+            cut = max(1, round(size * share))
+            texts += [" ".join(base[cut:]), " ".join([*base, *(f"t{r.randrange(10**6)}" for _ in range(cut))])]
+    texts = list(dict.fromkeys(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    near = lambda i, j: (simhash64(texts[i]) ^ simhash64(texts[j])).bit_count() <= simhash.RADIUS or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near(i, j):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs, shingles=True).collect()}
+    assert got == dict(enumerate(root))
+    assert 12 < len(set(root)) < len(texts)
