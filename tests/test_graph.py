@@ -252,6 +252,27 @@ def test_closure_matches_model(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_closure_of_all_equals_the_walk(spark, seed, monkeypatch):
+    for name in ("SHARE_ROWS", "BLOCK_ROWS", "COLOUR_STEPS"):
+        monkeypatch.setattr(impact, name, 3)
+    r = random.Random(seed)
+    edges = {(r.randrange(30), r.randrange(30)) for _ in range(40)} | {(100 + k, 100 + (k + 1) % 9) for k in range(9)} | {(5, 103), (200, 200)}
+    frame = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "callee_id string, container string")
+    seeds = spark.createDataFrame([(f"s{k}", str(r.choice([r.randrange(30), 100 + r.randrange(9), 200, 999]))) for k in range(20) for _ in range(1 + k % 3)], "seed string, id string")
+    got, want = impact.closure_of_all(frame, seeds), impact.closure(frame, seeds)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    nothing = impact.closure_of_all(frame, seeds.filter("id = '999'"))
+    assert nothing.isEmpty() and impact.closure_of_all(frame.limit(0), seeds).isEmpty()
+
+
+def test_closure_of_all_follows_components_not_their_members(spark):
+    edges = spark.createDataFrame([(str(k), str((k * f + 1) % 300)) for k in range(300) for f in (1, 7)], "callee_id string, container string")
+    seeds = spark.createDataFrame([(f"s{k}", str(k)) for k in range(300)], "seed string, id string")
+    assert impact._reach(edges, seeds).walked.count() == 1
+    assert impact.closure_of_all(edges, seeds).count() == 300 * 299
+
+
 def test_accuracy_scores(spark):
     frame = lambda rows: spark.createDataFrame(rows, "method string, file string, line int")
     found, gold = frame([("m", "a", 1), ("m", "a", 2), ("m", "a", 2)]), frame([("m", "a", 1), ("m", "b", 1), ("n", "b", 1)])
