@@ -273,6 +273,19 @@ def test_closure_of_all_follows_components_not_their_members(spark):
     assert impact.closure_of_all(edges, seeds).count() == 300 * 299
 
 
+@pytest.mark.parametrize("structural", [False, True])
+def test_impact_of_all_equals_impact(spark, structural):
+    symbols = [("m::a", "src/m.rs", 1), ("m::b", "src/m.rs", 2), ("m::c", "src/m.rs", 3), ("k::b", "src/k.rs", 1), ("k::only", "src/k.rs", 9), ("m::b", "src/m.rs", 2)]
+    refs = [("a", "src/m.rs", 5, "m::b"), ("a", "src/m.rs", 6, "b"), ("b", "src/m.rs", 7, "m::c"), ("c", "src/m.rs", 8, "m::a"), ("only", "src/k.rs", 9, "k::b"), ("c", "src/m.rs", 9, "m::T::b"), ("only", "src/k.rs", 9, "b")]
+    g = graph(spark, symbols, refs).graph
+    kinds = g.symbols.withColumn("kind", F.when(F.monotonically_increasing_id() % 2 == 0, "function").otherwise("struct"))
+    g = from_frames(spark, files=g.files, symbols=kinds, refs=g.refs, imports=g.imports, impls=g.impls)
+    seeds = impact.seeds_of_definitions(g.symbols)
+    got, want = impact.impact_of_all(g, seeds, structural=structural), impact.impact(g, seeds, structural=structural)
+    assert got.columns == want.columns and not want.isEmpty()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_accuracy_scores(spark):
     frame = lambda rows: spark.createDataFrame(rows, "method string, file string, line int")
     found, gold = frame([("m", "a", 1), ("m", "a", 2), ("m", "a", 2)]), frame([("m", "a", 1), ("m", "b", 1), ("n", "b", 1)])
