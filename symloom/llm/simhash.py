@@ -42,6 +42,8 @@ ORDER_SAMPLE = 5_000
 ORDER_ENTRIES = 65_536
 #: Bits per shingle, at least, of the bitmap of a text's shingles that bounds how many two texts share.
 SKETCH_BITS = 4
+#: How many of a text's first buckets go with it where pairs are compared: enough up to about 280 shingles.
+LEAD = 32
 #: A text's buckets that are compared with their first and last text, and how many of them must be shared. Both only save work.
 STAR_BUCKETS, STAR_SHARED = 16, 3
 _SHINGLES_AT_ONCE = 1 << 16
@@ -138,6 +140,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingle_hashes(t) for t in texts], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
+def _lead(first: np.ndarray) -> np.ndarray:
+    """The first ``LEAD`` buckets of a text; none if two of them are one."""
+    lead = first[:LEAD]
+    return lead if len(np.unique(lead)) == len(lead) else lead[:0]
+
+
 def _usual_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts repeats, sorted, and how often."""
     sample = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(max(1, rows // ORDER_SAMPLE))) == 0)
@@ -161,7 +169,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, sketch) of each text, once for each task that met it, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
+    """(key, fp, sketch, lead) of each text, once for each task that met it, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
@@ -185,17 +193,17 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 own = _shingle_hashes(value)
                 at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
                 rank = np.where(usual[at] == own, often[at], 0) if len(usual) else np.zeros(len(own), np.int64)
-                first.append(own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1])
+                first.append((own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1] >> 32).astype(np.int32))
                 sizes.append(len(own))
                 sketch.append(_sketch(own))
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array([(f >> 32).astype(np.int32) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array([_lead(f) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "lead", "sketch"])
 
-    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, sketch array<bigint>"), "heads")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, lead array<int>, sketch array<bigint>"), "heads")
     flat = heads.select("key", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")  # structs make wider rows
     rows = flat.select("shingle", F.struct("key", "size", "at").alias("x"))
     buckets = rows.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low.key <> high.key")
-    return heads.select("key", "fp", "sketch"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+    return heads.select("key", "fp", "sketch", "lead"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
 def _prefix(n: Column) -> Column:
@@ -232,7 +240,7 @@ def _candidates(texts: DataFrame, pairs: DataFrame, least: Column) -> DataFrame:
     low, high = F.least("x", "y"), F.greatest("x", "y")
     ordered = allowed.select(*(side[field].alias(f"{field}_{n}") for n, side in (("a", low), ("b", high)) for field in ("key", "size")))
     shared = materialize(ordered.groupBy(ordered.columns).agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n"), "sharing")
-    few = _of_keys(texts.withColumnRenamed("key", "doc_id"), shared, "sketches")
+    few = _of_keys(texts.select(F.col("key").alias("doc_id"), "fp", "sketch"), shared, "sketches")
     of = [few.select(F.col("doc_id").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
     known = shared.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
     most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
@@ -246,21 +254,55 @@ def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
     return _candidates(texts, some.select("x", F.explode(F.array("low", "high")).alias("y")), least)
 
 
+def _both(p: Column, q: Column) -> Column:
+    """How many shingles sets of p and q share at least at a similarity of 0.8."""
+    return F.call_function("div", 4 * (p + q) + 8, F.lit(9)).cast("int")
+
+
+def _led(p: Column, q: Column) -> Column:
+    """Whether the leads of texts of p and q shingles hold the places of their first common bucket."""
+    return F.greatest(p, q) - _both(p, q) < LEAD
+
+
+def _margin(size: Column, lead: Column) -> Column:
+    """How much is added to two texts' sizes for the parts of their leads that are compared: the lesser of both texts'. Without a lead, too little for any."""
+    return F.when(F.size(lead) > 0, F.least(LEAD - size, _prefix(size).cast("int") - size)).otherwise(-(1 << 30))
+
+
+def _first_meeting() -> Column:
+    """Whether texts x and y, which meet in a bucket, meet in none before it and in as many as they must. Always, if their leads can't tell.
+
+    Where x and y of sizes p and q share m, the first p - m + k of x's and q - m + k
+    of y's have k in common, for any k up to m; the first of all is met there for k = 1.
+    The condition is kept short, as Java compiles no long methods.
+    """
+    p, q, margin = F.col("x.size"), F.col("y.size"), F.least("x_margin", "y_margin")
+    m = _both(p, q)
+    common = F.array_intersect(F.slice("x_lead", F.lit(1), p + margin), F.slice("y_lead", F.lit(1), q + margin))
+    return (m + margin < 1) | ((F.col("x.at") <= p - m) & (F.col("y.at") <= q - m) & (F.size(common) >= m + margin) & (common[0] == F.col("shingle")))
+
+
 def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose fingerprints are in different components so far and that share as many buckets as a similarity of 0.8 takes.
 
     Two such sets of sizes p and q share m = ceil(4 (p + q) / 9) shingles or
     more. The first f of the p lack at most p - m of the q, and so the other
     way, so that of the buckets of both at least the lesser f - (p - m) meet.
+    Texts short enough for their leads are a row in their first bucket only,
+    others in each, where they are counted.
     """
     roots = texts.select("key", "fp").distinct().join(groups, F.col("fp") == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", F.struct("x.key", "x.size").alias("x"), "root"), "placed")
+    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    open_ = materialize(placed.join(mixed.hint("merge"), "shingle", "left_semi"), "open")
-    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
-    both = F.ceil(4 * (F.col("size_a") + F.col("size_b")) / 9)
+    open_ = placed.join(mixed.hint("merge"), "shingle", "left_semi")
+    leads = texts.select(F.col("key").alias("of"), F.col("lead").alias("x_lead")).dropDuplicates(["of"])
+    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_margin", _margin(F.col("x.size"), F.col("x_lead"))), "open")
+    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"), F.col("x_lead").alias("y_lead"), F.col("x_margin").alias("y_margin"))
+    near = (F.col("root") != F.col("other")) & (F.col("x.key") < F.col("y.key")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
+    met = open_.join(other.hint("merge"), "shingle").filter(near & _first_meeting())
+    both = _both(F.col("size_a"), F.col("size_b"))
     least = F.least(*(_prefix(F.col(n)) - (F.col(n) - both) for n in ("size_a", "size_b")))
-    return _candidates(texts, open_.join(other.hint("merge"), "shingle").filter("root <> other and x.key < y.key").select("x", "y"), least)
+    return _candidates(texts, met.select("x", "y"), F.when(_led(F.col("size_a"), F.col("size_b")), 1).otherwise(least))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
