@@ -296,7 +296,7 @@ def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     open_ = placed.join(mixed.hint("merge"), "shingle", "left_semi")
     leads = texts.select(F.col("key").alias("of"), F.col("lead").alias("x_lead")).dropDuplicates(["of"])
-    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_margin", _margin(F.col("x.size"), F.col("x_lead"))), "open")
+    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_lead", F.when(_led(F.col("x.size"), F.col("x.size")), F.col("x_lead"))).withColumn("x_margin", _margin(F.col("x.size"), F.col("x_lead"))), "open")
     other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"), F.col("x_lead").alias("y_lead"), F.col("x_margin").alias("y_margin"))
     near = (F.col("root") != F.col("other")) & (F.col("x.key") < F.col("y.key")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
     met = open_.join(other.hint("merge"), "shingle").filter(near & _first_meeting())
