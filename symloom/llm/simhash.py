@@ -33,8 +33,8 @@ from symloom.llm.components import connected_components
 
 RADIUS = 4
 PAIR_LIMIT = 64
-#: Bits that mark the ids whose rows need a join: 16 MB in 4096 buckets, which may be broadcast.
-MARK_BITS = 1 << 27
+#: Bits that mark the ids whose rows need a join: 4 MB in 1024 buckets, which may be broadcast; the driver holds them several times over.
+MARK_BITS = 1 << 25
 #: Words of a shingle of ``shingle_links``.
 SHINGLE_WORDS = 5
 #: About how many texts are sampled for the order of shingles, and how many repeated shingles it tells apart.

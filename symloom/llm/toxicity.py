@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import crc_bucket, labelled_sample, logistic, logistic_fit, map_batches, materialize, table, texts_of, with_columns_at_once
+from symloom.llm.common import crc_bucket, give_back, labelled_sample, logistic, logistic_fit, map_batches, materialize, table, texts_of, with_columns_at_once
 
 #: Bounds of the sample of labelled rows that are kept as examples: rows of each class, characters in all.
 SAMPLE_PER_CLASS = 4000
@@ -245,6 +245,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     vocabulary = {w: i for i, w in enumerate(encoded.dictionary.to_pylist())}
     term = encoded.indices.to_numpy(zero_copy_only=False)
     del bags, lists, encoded  # the driver keeps numbers only
+    give_back(docs.sparkSession)
     of_1 = np.repeat(classes, sizes) == 1
     n, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -263,6 +264,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
         usual = term[own][np.argmax(counts[own] * in_any[term[own]])]  # the word that marks its language best
         alike.append((int(usual), int(sizes[i])))
     model.index = BlockMaxIndex(vectors, len(vocabulary), alike)
+    del vectors, alike, term, counts
+    give_back(docs.sparkSession)
     model.curve = _calibrated(sample, model)
     return model
 
