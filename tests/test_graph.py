@@ -273,6 +273,30 @@ def test_closure_of_all_follows_components_not_their_members(spark):
     assert impact.closure_of_all(edges, seeds).count() == 300 * 299
 
 
+def one_component(spark, n, classes=1):
+    """Each of n seeds reaches all of n members but its own."""
+    numbers = spark.range(n).withColumn("n", F.col("id"))
+    seeds = numbers.select((F.col("n") % classes).alias("class"), F.concat(F.lit("sym_"), "n").alias("seed"), F.array("n").alias("own"))
+    members = numbers.select(F.lit(0).cast("long").alias("component"), "n", F.concat(F.lit("crate::m::sym_"), "n").alias("container"))
+    return impact._Reach(seeds, spark.range(classes).select(F.col("id").alias("class"), F.lit(0).cast("long").alias("component")), members)
+
+
+def test_expanded_rows_are_whole_whatever_the_shares_and_bands(spark, monkeypatch):
+    for name in ("BLOCK_ROWS", "CROSS_SEEDS", "CROSS_MEMBERS"):
+        monkeypatch.setattr(impact, name, 3)
+    reach = one_component(spark, 20, classes=2)
+    got = sorted(map(tuple, impact._expand(reach, reach.members).collect()))
+    assert got == sorted((f"sym_{a}", f"crate::m::sym_{b}") for a in range(20) for b in range(20) if a != b)
+
+
+def test_expanded_rows_are_small_when_written(spark, tmp_path):
+    n = 2_000
+    reach = one_component(spark, n)
+    impact._expand(reach, reach.members).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) / (n * (n - 1)) < 0.5, "bytes a row"
+
+
 @pytest.mark.parametrize("structural", [False, True])
 def test_impact_of_all_equals_impact(spark, structural):
     symbols = [("m::a", "src/m.rs", 1), ("m::b", "src/m.rs", 2), ("m::c", "src/m.rs", 3), ("k::b", "src/k.rs", 1), ("k::only", "src/k.rs", 9), ("m::b", "src/m.rs", 2)]
