@@ -44,6 +44,8 @@ ORDER_ENTRIES = 65_536
 SKETCH_BITS = 4
 #: How many of a text's first buckets go with it where pairs are compared: enough up to about 280 shingles.
 LEAD = 32
+#: Texts of so many shingles carry a bitmap of their buckets, and each of their rows so many buckets before its own. Both only save rows.
+LONG, BEFORE = 256, 16
 #: A text's buckets that are compared with their first and last text, and how many of them must be shared. Both only save work.
 STAR_BUCKETS, STAR_SHARED = 16, 3
 _SHINGLES_AT_ONCE = 1 << 16
@@ -169,7 +171,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, sketch, lead) of each text, once for each task that met it, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
+    """(key, fp, sketch, lead, bits, first) of each text, once for each task that met it, and (shingle, x, low, high): the texts x in each bucket of two or more, with its first and last.
 
     A bucket is 32 bits of a shingle's hash; where two shingles meet in one, it only holds more texts.
 
@@ -188,7 +190,7 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch, values in texts_of(batches, 1):
             keys = batch.column(0).to_pylist()
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-            values, first, sizes, sketch = [values[i] for i in fresh], [], [], []
+            values, first, sizes, sketch, bits = [values[i] for i in fresh], [], [], [], []
             for value in values:
                 own = _shingle_hashes(value)
                 at = np.minimum(np.searchsorted(usual, own), max(len(usual) - 1, 0))
@@ -196,14 +198,15 @@ def shingle_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 first.append((own[np.lexsort((own, rank))][: len(own) - (4 * len(own) + 4) // 5 + 1] >> 32).astype(np.int32))
                 sizes.append(len(own))
                 sketch.append(_sketch(own))
+                bits.append(_sketch(first[-1].astype(np.int64)) if len(own) >= LONG else sketch[-1][:0])
             prints = np.fromiter((simhash64(t) for t in values), np.uint64, len(values)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array([_lead(f) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "lead", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.array(prints), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array([_lead(f) for f in first], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["key", "fp", "size", "first", "lead", "sketch", "bits"])
 
-    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, lead array<int>, sketch array<bigint>"), "heads")
+    heads = materialize(map_batches(texts, prefixes, "key long, fp long, size int, first array<int>, lead array<int>, sketch array<bigint>, bits array<bigint>"), "heads")
     flat = heads.select("key", "size", F.posexplode("first").alias("at", "shingle")).repartition("shingle")  # structs make wider rows
     rows = flat.select("shingle", F.struct("key", "size", "at").alias("x"))
     buckets = rows.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low.key <> high.key")
-    return heads.select("key", "fp", "sketch", "lead"), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
+    return heads.select("key", "fp", "sketch", "lead", "bits", F.when(F.col("size") >= LONG, F.col("first")).otherwise(F.array().cast("array<int>")).alias("first")), materialize(rows.join(buckets.hint("merge"), "shingle").distinct(), "shingle-members")
 
 
 def _prefix(n: Column) -> Column:
@@ -211,7 +214,7 @@ def _prefix(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5) + 1
 
 
-def _lacks(x: str, y: str) -> Column:
+def _lacks(x: str | Column, y: str | Column) -> Column:
     """How many shingles of x are not in y, at least: the bits of x's sketch that y's lacks."""
     missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
     return F.aggregate(missing, F.lit(0), lambda total, n: total + n)
@@ -269,40 +272,52 @@ def _margin(size: Column, lead: Column) -> Column:
     return F.when(F.size(lead) > 0, F.least(LEAD - size, _prefix(size).cast("int") - size)).otherwise(-(1 << 30))
 
 
+def _may_share_enough(m: Column) -> Column:
+    """Whether the bitmaps of the buckets of texts x and y allow as many common buckets as a similarity of 0.8 takes. Always, if one has none.
+
+    Two such sets of sizes p and q share m = ceil(4 (p + q) / 9) shingles or
+    more. The first f of the p lack at most p - m of the q, and so the other
+    way, so that of the buckets of both at least the lesser f - (p - m) meet.
+    """
+    p, q = F.col("x.size"), F.col("y.size")
+    most = F.least(_prefix(p) - _lacks(_folded("x_bits", "y_bits"), _folded("y_bits", "x_bits")), _prefix(q) - _lacks(_folded("y_bits", "x_bits"), _folded("x_bits", "y_bits")))
+    return F.when((F.size("x_bits") > 0) & (F.size("y_bits") > 0), most >= F.least(_prefix(p) - p, _prefix(q) - q) + m).otherwise(True)
+
+
 def _first_meeting() -> Column:
-    """Whether texts x and y, which meet in a bucket, meet in none before it and in as many as they must. Always, if their leads can't tell.
+    """Whether texts x and y, which meet in a bucket, meet in none before it and in as many as they must.
 
     Where x and y of sizes p and q share m, the first p - m + k of x's and q - m + k
     of y's have k in common, for any k up to m; the first of all is met there for k = 1.
+    If their leads can't tell, each bucket counts where the first may be and that has no bucket of both among the few before it:
+    the first of all has none. Their bitmaps then tell whether they may meet in enough.
     The condition is kept short, as Java compiles no long methods.
     """
     p, q, margin = F.col("x.size"), F.col("y.size"), F.least("x_margin", "y_margin")
     m = _both(p, q)
     common = F.array_intersect(F.slice("x_lead", F.lit(1), p + margin), F.slice("y_lead", F.lit(1), q + margin))
-    return (m + margin < 1) | ((F.col("x.at") <= p - m) & (F.col("y.at") <= q - m) & (F.size(common) >= m + margin) & (common[0] == F.col("shingle")))
+    led = (F.size(common) >= m + margin) & (common[0] == F.col("shingle"))
+    return (F.col("x.at") <= p - m) & (F.col("y.at") <= q - m) & F.when(m + margin < 1, ~F.arrays_overlap("x_before", "y_before") & _may_share_enough(m)).otherwise(led)
 
 
 def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose fingerprints are in different components so far and that share as many buckets as a similarity of 0.8 takes.
 
-    Two such sets of sizes p and q share m = ceil(4 (p + q) / 9) shingles or
-    more. The first f of the p lack at most p - m of the q, and so the other
-    way, so that of the buckets of both at least the lesser f - (p - m) meet.
     Texts short enough for their leads are a row in their first bucket only,
-    others in each, where they are counted.
+    others in few more.
     """
     roots = texts.select("key", "fp").distinct().join(groups, F.col("fp") == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
     placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     open_ = placed.join(mixed.hint("merge"), "shingle", "left_semi")
-    leads = texts.select(F.col("key").alias("of"), F.col("lead").alias("x_lead")).dropDuplicates(["of"])
-    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_lead", F.when(_led(F.col("x.size"), F.col("x.size")), F.col("x_lead"))).withColumn("x_margin", _margin(F.col("x.size"), F.col("x_lead"))), "open")
-    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"), F.col("x_lead").alias("y_lead"), F.col("x_margin").alias("y_margin"))
+    leads = texts.select(F.col("key").alias("of"), F.col("lead").alias("x_lead"), F.col("bits").alias("x_bits"), "first").dropDuplicates(["of"])
+    at, window = F.col("x.at"), F.lit(BEFORE)
+    before = F.slice("first", F.greatest(at - window, F.lit(0)) + 1, F.least(at, window))
+    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_lead", F.when(_led(F.col("x.size"), F.col("x.size")), F.col("x_lead"))).withColumns({"x_margin": _margin(F.col("x.size"), F.col("x_lead")), "x_before": before}).drop("first"), "open")
+    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"), F.col("x_lead").alias("y_lead"), F.col("x_margin").alias("y_margin"), F.col("x_bits").alias("y_bits"), F.col("x_before").alias("y_before"))
     near = (F.col("root") != F.col("other")) & (F.col("x.key") < F.col("y.key")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
     met = open_.join(other.hint("merge"), "shingle").filter(near & _first_meeting())
-    both = _both(F.col("size_a"), F.col("size_b"))
-    least = F.least(*(_prefix(F.col(n)) - (F.col(n) - both) for n in ("size_a", "size_b")))
-    return _candidates(texts, met.select("x", "y"), F.when(_led(F.col("size_a"), F.col("size_b")), 1).otherwise(least))
+    return _candidates(texts, met.select("x", "y"), F.lit(1))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

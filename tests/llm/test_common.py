@@ -1,4 +1,7 @@
-from symloom.llm.common import materialize
+import gc
+import time
+
+from symloom.llm.common import _manage, give_back, materialize
 
 
 def full_collections(spark):
@@ -21,3 +24,21 @@ def test_a_heap_that_grew_is_collected_and_a_small_one_is_not(spark):
         before = full_collections(spark)
         materialize(spark.range(3), "few")
         assert full_collections(spark) == before
+
+
+def test_a_collected_heap_keeps_little_more_than_what_lives(spark):
+    runtime, allocate = spark._jvm.java.lang.Runtime.getRuntime(), spark._jvm.java.nio.ByteBuffer.allocate
+    held = [allocate(32 << 20) for _ in range(int(0.3 * runtime.maxMemory()) >> 25)]
+    more = []
+    while runtime.totalMemory() <= 0.6 * runtime.maxMemory():
+        more.append(allocate(32 << 20))
+    more.clear()
+    gc.collect()
+    time.sleep(2)  # the gateway lets go of them by and by
+    try:
+        give_back(spark)
+        live = runtime.totalMemory() - runtime.freeMemory()
+        assert len(held) and runtime.totalMemory() < 1.6 * live
+    finally:
+        for option, percent in (("MaxHeapFreeRatio", 70), ("MinHeapFreeRatio", 40)):
+            _manage(spark, "HotSpotDiagnostic", "setVMOption", option, str(percent))

@@ -165,3 +165,26 @@ def test_pairs_of_short_texts_meet_once_and_none_is_lost(spark, monkeypatch, lea
     got = {tuple(x) for x in simhash.alike(docs, simhash.shingle_rest(rows, members, spark.createDataFrame([], "node long, root long"))).collect()}
     assert got == want and 20 < len(want)
     assert (len(set(met[0])) == len(met[0]) > 20) == (lead == 32)
+
+
+def test_pairs_of_long_texts_give_few_rows_and_none_is_lost(spark, monkeypatch):
+    r = random.Random(3)
+    texts = []
+    for size in (350, 700, 1500):
+        base = [f"s{size}w{r.randrange(10**6)}" for _ in range(size)]
+        for k in range(8):
+            words = list(base)
+            for _ in range(r.randrange(1, 2 + size // 60)):
+                words[r.randrange(size)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(words[: size - r.randrange(1 + size // 12)]))
+        texts += [" ".join([*base[: size // 3], *(f"y{r.randrange(10**6)}" for _ in range(size // 2))]) for _ in range(4)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [simhash64(t) - (1 << 64 if simhash64(t) >> 63 else 0) for t in texts]
+    want = {tuple(sorted((prints[i], prints[j]))) for i in range(len(texts)) for j in range(i) if prints[i] != prints[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    met, candidates = [], simhash._candidates
+    monkeypatch.setattr(simhash, "_candidates", lambda t, pairs, least: met.append(pairs.selectExpr("x.key", "y.key AS other").collect()) or candidates(t, pairs, least))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, members = simhash.shingle_members(docs)
+    got = {tuple(x) for x in simhash.alike(docs, simhash.shingle_rest(rows, members, spark.createDataFrame([], "node long, root long"))).collect()}
+    assert got == want and 20 < len(want)
+    assert len(met[0]) < 2 * len(set(met[0]))
