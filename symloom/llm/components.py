@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialize
+from symloom.llm.common import drop_table, materialize, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,9 +32,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops are dropped. An empty input gives an empty result.
     """
     now = edges.select("a", "b").filter("a <> b").distinct()
-    before = None
+    before = previous = None
     while True:
         now = materialize(_small_star(_large_star(now)), "stars")
+        if previous is not None:
+            drop_table(edges.sparkSession, previous)
+        previous = written()[-1]
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

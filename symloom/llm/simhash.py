@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.common import map_batches, materialize, slices, spread, table, texts_of, with_columns
+from symloom.llm.common import map_batches, materialize, scratch, slices, spread, table, texts_of, with_columns
 from symloom.llm.components import connected_components
 
 RADIUS = 4
@@ -229,9 +229,10 @@ def _folded(x: str, y: str) -> Column:
 def _of_keys(rows: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """The rows whose ``doc_id`` is a key of the pairs, and few others, one for each; other rows are not shuffled."""
     keys = pairs.select(F.col("key_a").alias("doc_id")).union(pairs.select("key_b")).distinct()
-    marks = materialize(_marks(keys), f"{label}-marks")
-    known = rows.withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left")
-    return materialize(known.filter(_is_marked()).select(rows.columns).dropDuplicates(["doc_id"]), label)
+    with scratch(rows.sparkSession):
+        marks = materialize(_marks(keys), f"{label}-marks")
+        known = rows.withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1)).join(F.broadcast(marks), "__symloom_bucket", "left")
+        return materialize(known.filter(_is_marked()).select(rows.columns).dropDuplicates(["doc_id"]), label)
 
 
 def _candidates(texts: DataFrame, pairs: DataFrame, least: Column) -> DataFrame:
@@ -242,12 +243,13 @@ def _candidates(texts: DataFrame, pairs: DataFrame, least: Column) -> DataFrame:
     allowed = pairs.filter("x.key <> y.key and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
     low, high = F.least("x", "y"), F.greatest("x", "y")
     ordered = allowed.select(*(side[field].alias(f"{field}_{n}") for n, side in (("a", low), ("b", high)) for field in ("key", "size")))
-    shared = materialize(ordered.groupBy(ordered.columns).agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n"), "sharing")
-    few = _of_keys(texts.select(F.col("key").alias("doc_id"), "fp", "sketch"), shared, "sketches")
-    of = [few.select(F.col("doc_id").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
-    known = shared.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
-    most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
-    return materialize(known.filter(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("key_a", "key_b", "a", "b"), "candidates")
+    with scratch(texts.sparkSession):
+        shared = materialize(ordered.groupBy(ordered.columns).agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n"), "sharing")
+        few = _of_keys(texts.select(F.col("key").alias("doc_id"), "fp", "sketch"), shared, "sketches")
+        of = [few.select(F.col("doc_id").alias(f"key_{n}"), F.col("fp").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("a", "b")]
+        known = shared.join(of[0], "key_a").join(of[1], "key_b").filter("a <> b").withColumns({"of_a": _folded("sketch_a", "sketch_b"), "of_b": _folded("sketch_b", "sketch_a")})
+        most = F.least(F.col("size_a") - _lacks("of_a", "of_b"), F.col("size_b") - _lacks("of_b", "of_a"))
+        return materialize(known.filter(9 * most >= 4 * (F.col("size_a") + F.col("size_b"))).select("key_a", "key_b", "a", "b"), "candidates")
 
 
 def shingle_stars(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -307,17 +309,20 @@ def shingle_rest(texts: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     others in few more.
     """
     roots = texts.select("key", "fp").distinct().join(groups, F.col("fp") == groups["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    open_ = placed.join(mixed.hint("merge"), "shingle", "left_semi")
-    leads = texts.select(F.col("key").alias("of"), F.col("lead").alias("x_lead"), F.col("bits").alias("x_bits"), "first").dropDuplicates(["of"])
+    leads = texts.select(F.col("key").alias("of"), "lead", "bits", "first").dropDuplicates(["of"])
     at, window = F.col("x.at"), F.lit(BEFORE)
     before = F.slice("first", F.greatest(at - window, F.lit(0)) + 1, F.least(at, window))
-    open_ = materialize(open_.join(leads.hint("merge"), F.col("x.key") == F.col("of")).drop("of").withColumn("x_lead", F.when(_led(F.col("x.size"), F.col("x.size")), F.col("x_lead"))).withColumns({"x_margin": _margin(F.col("x.size"), F.col("x_lead")), "x_before": before}).drop("first"), "open")
-    other = open_.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"), F.col("x_lead").alias("y_lead"), F.col("x_margin").alias("y_margin"), F.col("x_bits").alias("y_bits"), F.col("x_before").alias("y_before"))
-    near = (F.col("root") != F.col("other")) & (F.col("x.key") < F.col("y.key")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
-    met = open_.join(other.hint("merge"), "shingle").filter(near & _first_meeting())
-    return _candidates(texts, met.select("x", "y"), F.lit(1))
+    with scratch(texts.sparkSession):
+        with scratch(texts.sparkSession):
+            placed = materialize(members.join(roots, members["x.key"] == roots["key"]).select("shingle", "x", "root"), "placed")
+            mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+            apart = placed.join(mixed.hint("merge"), "shingle", "left_semi").join(leads.hint("merge"), F.col("x.key") == F.col("of"))
+            led = apart.withColumn("lead", F.when(_led(F.col("x.size"), F.col("x.size")), F.col("lead"))).withColumns({"margin": _margin(F.col("x.size"), F.col("lead")), "before": before})
+            open_ = materialize(led.select("shingle", F.col("x").alias("text"), "root", "lead", "margin", "bits", "before"), "open")
+        sides = [open_.select("shingle", F.col("text").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in open_.columns[2:])) for n in ("x", "y")]  # alike, so that Spark shuffles them once
+        near = (F.col("x_root") != F.col("y_root")) & (F.col("x.key") < F.col("y.key")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
+        met = sides[0].join(sides[1].hint("merge"), "shingle").filter(near & _first_meeting())
+        return _candidates(texts, met.select("x", "y"), F.lit(1))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,10 +356,14 @@ def _with_shingles(docs: DataFrame, edges: DataFrame) -> DataFrame:
     Every such pair shares a bucket. The buckets' stars link most groups; only
     pairs that are still in different components are looked at one by one.
     """
+    spark = docs.sparkSession
     texts, members = shingle_members(docs)
-    edges = materialize(edges.unionByName(alike(docs, shingle_stars(texts, members))).distinct(), "star-edges")
-    groups = materialize(connected_components(edges), "star-groups")
-    more = materialize(alike(docs, shingle_rest(texts, members, groups)), "rest-edges")
+    with scratch(spark):
+        edges = materialize(edges.unionByName(alike(docs, shingle_stars(texts, members))).distinct(), "star-edges")
+    with scratch(spark):
+        groups = materialize(connected_components(edges), "star-groups")
+    with scratch(spark):
+        more = materialize(alike(docs, shingle_rest(texts, members, groups)), "rest-edges")
     return groups if more.isEmpty() else connected_components(edges.unionByName(more).distinct())
 
 
@@ -370,9 +379,11 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: boo
     """
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
-    edges = links(prints, pair_limit)
-    groups = materialize(_with_shingles(docs, edges) if shingles else connected_components(edges), "groups")
+    with scratch(docs.sparkSession):
+        with scratch(docs.sparkSession):
+            prints = materialize(spread(distinct.select("fp"), distinct.count(), 5_000, "fp"), "prints")
+            edges = materialize(links(prints, pair_limit), "links")
+        groups = materialize(_with_shingles(docs, edges) if shingles else connected_components(edges), "groups")
     root = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = root.join(smallest, "root").select("fp", "component_id")
@@ -405,7 +416,8 @@ def representatives(docs: DataFrame, pair_limit: int = PAIR_LIMIT, shingles: boo
     without a mark stay without being shuffled; the few others are joined with
     the ids that stay. However full the bitmap, the result is the same.
     """
-    found = materialize(near_duplicates(docs, pair_limit, shingles).filter("doc_id is not null"), "found")
+    with scratch(docs.sparkSession):
+        found = materialize(near_duplicates(docs, pair_limit, shingles).filter("doc_id is not null"), "found")
     ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
     marks = materialize(_marks(ids.filter("n > 1 or doc_id <> component_id")), "marks")
     known = docs.filter("doc_id is not null").withColumn("__symloom_bucket", F.bitmap_bucket_number(_mark_place() + 1))

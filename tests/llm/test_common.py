@@ -1,7 +1,9 @@
 import gc
 import time
 
-from symloom.llm.common import _manage, give_back, materialize
+from pyspark.sql import functions as F
+
+from symloom.llm.common import _CLEANUP_SETTING, _manage, give_back, materialize
 
 
 def full_collections(spark):
@@ -42,3 +44,24 @@ def test_a_collected_heap_keeps_little_more_than_what_lives(spark):
     finally:
         for option, percent in (("MaxHeapFreeRatio", 70), ("MinHeapFreeRatio", 40)):
             _manage(spark, "HotSpotDiagnostic", "setVMOption", option, str(percent))
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        if (name := files.next().getName()).startswith("shuffle_"):
+            found.add(name)
+    return found
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    before = shuffle_files(spark)
+    setting = spark.conf.get(_CLEANUP_SETTING, None)
+    stored = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert spark.conf.get(_CLEANUP_SETTING, None) == setting
+    for _ in range(50):  # executors are told, not waited for
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and stored.count() == 7

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from symloom.llm import simhash
+from symloom.llm.common import scratch, written
 from symloom.llm.simhash import near_duplicates, representatives, simhash64
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
@@ -188,3 +189,20 @@ def test_pairs_of_long_texts_give_few_rows_and_none_is_lost(spark, monkeypatch):
     got = {tuple(x) for x in simhash.alike(docs, simhash.shingle_rest(rows, members, spark.createDataFrame([], "node long, root long"))).collect()}
     assert got == want and 20 < len(want)
     assert len(met[0]) < 2 * len(set(met[0]))
+
+
+def test_the_stage_keeps_few_tables_and_shuffles_its_rows_once(spark, monkeypatch):
+    plans, candidates = [], simhash._candidates
+
+    def seen(texts, pairs, least):
+        pairs.collect()
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return candidates(texts, pairs, least)
+
+    monkeypatch.setattr(simhash, "_candidates", seen)
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
+    with scratch(spark):
+        near_duplicates(docs, shingles=True)
+        assert [p.split("symloom-")[-1].split("-")[0] for p in written()] == ["fingerprints", "distinct", "groups"]
+    rest = plans[-1].split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in rest and "ReusedExchange" in rest
