@@ -9,6 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
+from symloom.llm import toxicity
 from symloom.llm.common import crc_bucket, labelled_sample, logistic
 from symloom.llm.langid import fit_languages, identify_languages
 from symloom.llm.licenses import fit_licences, scan_licences
@@ -136,6 +137,66 @@ def test_toxicity_without_labels(spark):
     assert score_toxicity(docs.limit(0), fit_toxicity(docs.limit(0), none)).collect() == []
 
 
+class Asked(dict):
+    """A vocabulary that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, *given):
+        self.asked += 1
+        return super().get(*given)
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 100_000])
+def test_term_counts_ask_the_vocabulary_once_for_each_word(monkeypatch, at_once):
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(toxicity, "_TEXT_BLOCK", 16)
+    texts = ["", "Alpha beta, ALPHA 7", "x1 y2 gamma_beta", "Äpfel beta İ½ ²zwei \u2168 ١alpha١"] * 5 + ["alpha Beta " * 9, "none"]
+    vocabulary = Asked({w: i for i, w in enumerate(["alpha", "beta", "gamma", "äpfel", "y", "zwei"])})
+    bags = [{vocabulary[w]: n for w, n in Counter(re.findall(r"[^\W\d_]+", t.lower())).items() if w in vocabulary} for t in texts]
+    whose, terms, counts = toxicity.term_counts(texts, vocabulary)
+    assert list(zip(whose.tolist(), terms.tolist(), counts.tolist(), strict=True)) == [(i, t, bag[t]) for i, bag in enumerate(bags) for t in sorted(bag)]
+    if at_once > 1000:
+        assert vocabulary.asked == len({w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())})
+
+
+def test_words_are_those_of_the_pattern():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for text in ("".join(every), " ".join(every), "a".join(every), "".join(every[:128]), "_1".join(every[:128])):
+        assert [w for part in toxicity.words_of(text) for w in part] == [w for block in parts_of(text) for w in re.findall(r"[^\W\d_]+", block.lower())]
+
+
+def parts_of(text):
+    at = 0
+    while at < len(text):
+        cut = text.find(" ", at + toxicity._TEXT_BLOCK)
+        cut = len(text) if cut < 0 else cut
+        yield text[at:cut]
+        at = cut
+
+
+@pytest.mark.parametrize("spread", [1, 40])
+def test_block_max_index_leaves_out_blocks_and_no_neighbour(spread):
+    """Groups of examples with words of their own: only a query's own blocks count, unless its words are spread over all."""
+    r = np.random.default_rng(spread)
+    vectors = []
+    for i in range(4000):
+        group = i * 40 // 4000
+        terms = np.unique(np.r_[(r.integers(0, spread) + group) % 40, 40 + group * 50 + r.integers(0, 50, 12)])
+        values = r.random(len(terms))
+        vectors.append((terms, values / np.linalg.norm(values)))
+    dense = np.zeros((4000, 2040))
+    for i, (terms, values) in enumerate(vectors):
+        dense[i, terms] = values
+    index = BlockMaxIndex(vectors, 2040, dense=40)
+    queries = list(range(0, 4000, 97))
+    for q, (near, cosine) in zip(queries, index.nearest([vectors[i] for i in queries], 20, queries), strict=True):
+        exact = np.round(dense @ dense[q], 9)
+        exact[q] = 0
+        best = [i for i in np.lexsort((np.arange(4000), -exact))[:20] if exact[i] > 0]
+        assert near.tolist() == best and cosine == pytest.approx(exact[best], abs=2e-9)
+
+
 @pytest.mark.parametrize(("seed", "dense"), [(0, 0), (1, 5), (2, 512)])
 def test_block_max_index_is_exact(seed, dense):
     r = np.random.default_rng(seed)
